@@ -35,43 +35,34 @@ def number_rows(
     Rows are numbered inside (levels, leading digits), and each such cell is
     shifted by the sizes of the cells before it. A level value that holds most rows
     is thus spread over 16**digits tasks; only counts are ordered level by level.
+    The levels must not be null.
     """
     cell = [*levels, "_cell"]
     rows = df.withColumn("_cell", F.left(F.col(unique), F.lit(digits)))
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _before(counts, cell)
     within = W.partitionBy(*cell).orderBy(unique)
-    same = [rows[c].eqNullSafe(offsets[c]) for c in cell]
-    numbered = rows.join(offsets, same, "inner").select(
-        *[rows[c] for c in rows.columns], offsets["_before"].alias("_before")
+    return (
+        rows.join(_rows_before(counts, cell), cell)
+        .withColumn("seq", F.row_number().over(within) + F.col("_before"))
+        .select(*df.columns, "seq")
     )
-    return numbered.withColumn("seq", F.row_number().over(within) + F.col("_before")).drop("_before", "_cell")
 
 
-def _before(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
+def _rows_before(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Rows that lie before each cell: one running sum per level over that level's totals.
 
     The last window sees the distinct values of the first level only.
     """
-    total, last = counts, "_n"
-    frame = (W.unboundedPreceding, -1)
-    pieces = counts.withColumn("_before", F.lit(0).cast("bigint"))
-    for depth in range(len(cell), 0, -1):
+    before = counts.select(*cell, F.lit(0).cast("bigint").alias("_before"))
+    for depth in range(1, len(cell) + 1):
         prefix, column = list(cell[: depth - 1]), cell[depth - 1]
-        if depth < len(cell):
-            total = total.groupBy(*cell[:depth]).agg(F.sum(last).alias("_n"))
-        window = (W.partitionBy(*prefix) if prefix else W.partitionBy(F.lit(0))).orderBy(column).rowsBetween(*frame)
-        shift = total.select(
-            *[F.col(c).alias(f"_k{i}") for i, c in enumerate(cell[:depth])],
-            F.coalesce(F.sum("_n").over(window), F.lit(0)).alias("_shift"),
-        )
-        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell[:depth])]
-        condition = same[0]
-        for more in same[1:]:
-            condition = condition & more
-        pieces = (
-            pieces.join(shift, condition, "inner")
+        totals = counts.groupBy(*prefix, column).agg(F.sum("_n").alias("_n"))
+        window = W.partitionBy(*(prefix or [F.lit(0)])).orderBy(column)
+        earlier = F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1))
+        shift = totals.select(*prefix, column, F.coalesce(earlier, F.lit(0)).alias("_shift"))
+        before = (
+            before.join(shift, [*prefix, column])
             .withColumn("_before", F.col("_before") + F.col("_shift"))
-            .drop("_shift", *[f"_k{i}" for i in range(depth)])
+            .drop("_shift")
         )
-    return pieces.drop("_n")
+    return before

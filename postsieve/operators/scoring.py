@@ -54,15 +54,12 @@ def match_pattern(needle: Column) -> Column:
 
 
 def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Add the lower-cased needle, its pattern and its anchor; reject empty phrases."""
+    """Add the lower-cased needle, its pattern and its anchor."""
     needle = F.lower("phrase")
     words = F.transform(F.split(needle, _NOT_WORDS), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    checked = F.when(
-        F.coalesce(F.length("phrase"), F.lit(0)) == 0, F.raise_error(F.lit("empty phrase in lexicon"))
-    ).otherwise(F.col("phrase"))
     return lexicon.select(
         F.col("ord").cast("int").alias("ord"),
-        checked.alias("phrase"),
+        "phrase",
         F.col("weight").cast("int").alias("weight"),
     ).select("*", needle.alias("needle"), match_pattern(needle).alias("pattern"), F.array_max(words)["w"].alias("anchor"))
 
@@ -81,12 +78,16 @@ class Lexicon:
             return lexicon
         table = prepare_lexicon(lexicon)
         head = table.orderBy("ord").limit(scan_max + 1).collect()
-        if len(head) <= scan_max:
-            return cls(table, tuple(head), True)
-        size = table.agg(
-            F.sum(F.length("phrase") + F.length("needle") + F.length("pattern") + F.length("anchor") + 64)
-        ).first()[0]
-        return cls(table, None, 4 * size <= BROADCAST_MAX_BYTES)
+        short = len(head) <= scan_max
+        size = 0
+        if short:
+            empty = sum(not e.phrase for e in head)
+        else:
+            width = F.length("phrase") + F.length("needle") + F.length("pattern") + F.length("anchor") + 64
+            empty, size = table.agg(F.count_if(F.coalesce(F.length("phrase"), F.lit(0)) == 0), F.sum(width)).first()
+        if empty:
+            raise ValueError(f"{empty} empty phrase(s) in lexicon")
+        return cls(table, tuple(head) if short else None, 4 * size <= BROADCAST_MAX_BYTES)
 
 
 def _matches(text: Column, needle: Column, pattern: Column) -> Column:
