@@ -29,8 +29,8 @@ judged AS (SELECT *, contains(lower(title), 'eaux') OR contains(lower(title), 'r
                   lower({text}) AS search_text FROM {source}),
 hits AS (SELECT j.{key}, CAST(sum(weight) AS INTEGER) AS score, string_agg(phrase, ', ' ORDER BY ord) AS keywords
   FROM judged j JOIN lexicon l
-    ON NOT blocked AND contains(search_text, lower(phrase))
-   AND regexp_matches(search_text, '(^|{_NW})' || lower(phrase) || '({_NW}|$)')
+    ON CASE WHEN NOT blocked AND contains(search_text, lower(phrase))
+       THEN regexp_matches(search_text, '(^|{_NW})' || lower(phrase) || '({_NW}|$)') ELSE false END
   GROUP BY 1),
 scored AS (SELECT j.*, coalesce(h.score, 0) AS score,
     CASE WHEN blocked THEN '[BLOCKED: title match]' ELSE coalesce(h.keywords, '') END AS keywords
@@ -131,7 +131,8 @@ texts AS (SELECT kind || ' failed: ' || reason || ' (' || CAST(n AS VARCHAR) ||
 _PROBES = """probes AS (
   SELECT CAST(d.doc_id AS INTEGER) AS ord, source AS name, 'd' || CAST(d.doc_id AS VARCHAR) AS token,
     CASE lang WHEN 'en' THEN 'greenhouse' WHEN 'fr' THEN 'ashby' WHEN 'de' THEN 'lever' ELSE 'workday' END AS ats,
-    len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '(?i)the|und|de'))) AS n,
+    (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS line)
+      WHERE regexp_matches(line, '(?i)the|und|de')) AS n,
     coalesce(toxic = 1, false) AS gone, coalesce(quality = 0, false) AS poor
   FROM documents d LEFT JOIN labels USING (doc_id)),
 classified AS (
@@ -194,7 +195,7 @@ ORACLES = {
     "feed_title_split": _WWR,
     "feed_fallbacks": _AVIXA,
     "source_union_counts": f"""WITH {_COLLECTED}
-        SELECT 2 AS level, kind AS source_kind, endpoint_ord, count(*) AS listings FROM collected GROUP BY kind, endpoint_ord
+        SELECT 2 AS level, kind AS source_kind, CAST(endpoint_ord AS VARCHAR) AS endpoint_ord, count(*) AS listings FROM collected GROUP BY kind, endpoint_ord
         UNION ALL SELECT 1, kind, NULL, count(*) FROM collected GROUP BY kind
         UNION ALL SELECT 0, NULL, NULL, count(*) FROM collected""",
     "source_union_subset": f"""WITH {_COLLECTED}

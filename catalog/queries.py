@@ -130,7 +130,8 @@ def feed_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_union_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = normalise(v.all_payloads(spark, sf), v.page_roster(spark, sf)).filter("reason is null")
-    return source_counts(rows).select("level", "source_kind", "endpoint_ord", "listings")
+    counts = source_counts(rows)
+    return counts.select("level", "source_kind", F.col("endpoint_ord").cast("string").alias("endpoint_ord"), "listings")
 
 
 def source_union_subset(spark: SparkSession, sf: str) -> DataFrame:

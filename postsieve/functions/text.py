@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Unicode whitespace plus the four separators U+001C..U+001F, which \s leaves out.
-# The look-behind starts a trailing match only at the head of a run of spaces, so
-# a long run inside the text is looked at once.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+\z"
+# Every character Python counts as white space; all lie below U+3001.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _TAG = r"<[^>]+>"
 
 
@@ -20,7 +18,7 @@ def _col(c: ColumnOrName) -> Column:
 
 def strip_space(c: ColumnOrName) -> Column:
     """Remove all Unicode whitespace from both ends."""
-    return F.regexp_replace(_col(c), _EDGE_SPACE, "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def strip_html(c: ColumnOrName) -> Column:

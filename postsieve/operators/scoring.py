@@ -4,9 +4,8 @@ A phrase matches where it occurs in the lower-cased search text between word
 boundaries. ``match_pattern`` states that rule once, as a regular expression;
 the physical forms below only differ in how they avoid evaluating it:
 
-* scan: for a short lexicon. The lexicon is a constant array, filtered per row; a
-  substring test goes before each regular expression. No join, no shuffle, works
-  on streams.
+* scan: for a short lexicon. Each phrase is a constant expression of one projection.
+  No join, no shuffle, works on streams.
 * anchored join: for a long lexicon. Each distinct word of a text is looked up
   among the phrases' anchors (their longest word), and only the phrases found are
   tested. The cost does not depend on the number of phrases.
@@ -14,8 +13,10 @@ the physical forms below only differ in how they avoid evaluating it:
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from postsieve.schemas import LEXICON
 BLOCKED_MARK = "[BLOCKED: title match]"
 
 SCAN_MAX_PHRASES = 64
-SCAN_MAX_PATTERNS = 1_000
+SCAN_MAX_PATTERNS = 256
 BROADCAST_MAX_BYTES = 32 << 20
 
 # Letters, numbers and underscore. \w and \b differ between JDK releases.
@@ -46,11 +47,13 @@ def match_pattern(needle: Column) -> Column:
 
     A boundary lies between a word character and something else, so next to a
     phrase that starts (ends) with a non-word character a word character is needed.
+    The phrase comes first in the expression, where the regex engine searches for it
+    as plain text; what precedes it is looked at from its end.
     """
-    starts = F.when(needle.rlike("^" + _WORD), rf"(?<!{_WORD})").otherwise(rf"(?<={_WORD})")
-    ends = F.when(needle.rlike(_WORD + r"\z"), rf"(?!{_WORD})").otherwise(rf"(?={_WORD})")
-    quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.concat(starts, F.lit("\\Q"), quoted, F.lit("\\E"), ends)
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    before = F.when(needle.rlike("^" + _WORD), "(?<!").otherwise("(?<=")
+    after = F.when(needle.rlike(_WORD + r"\z"), "(?!").otherwise("(?=")
+    return F.concat(quoted, before, F.lit(_WORD), quoted, F.lit(")"), after, F.lit(_WORD + ")"))
 
 
 def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -90,22 +93,18 @@ class Lexicon:
         return cls(table, tuple(head) if short else None, 4 * size <= BROADCAST_MAX_BYTES)
 
 
-def _matches(text: Column, needle: Column, pattern: Column) -> Column:
-    return F.contains(text, needle) & F.regexp_like(text, pattern)
-
-
 def scan_hits(text: Column, entries: Sequence) -> Column:
-    """Matched (ord, phrase, weight) structs in lexicon order, from a constant array."""
+    """Matched (ord, phrase, weight) structs in lexicon order: one constant pattern per
+    phrase, compiled once per task."""
     if not entries:
         return F.array().cast(_HITS)
-    constant = F.array(
-        *[
-            F.struct(*[F.lit(e[c]).alias(c) for c in ("ord", "phrase", "weight", "needle", "pattern")])
-            for e in entries
-        ]
-    )
-    found = F.filter(constant, lambda e: _matches(text, e["needle"], e["pattern"]))
-    return F.transform(found, lambda e: F.struct(e["ord"], e["phrase"], e["weight"]))
+
+    def found(e) -> Column:
+        hit = F.struct(*[F.lit(e[c]).alias(c) for c in ("ord", "phrase", "weight")])
+        # The substring test runs on the stored bytes; most texts need no more.
+        return F.when(F.contains(text, F.lit(e.needle)), F.when(text.rlike(e.pattern), hit))
+
+    return F.array_compact(F.array(*[found(e) for e in entries]))
 
 
 def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
@@ -123,8 +122,12 @@ def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
         # Keys and words only go through the large join; texts come back by key.
         candidates = texts.select(key, F.explode(words).alias("anchor")).distinct().join(lexicon.table, "anchor")
         found = candidates.join(texts.groupBy(key).agg(F.any_value("text").alias("text")), key)
+    # A phrase that is a single word has been matched by the join itself. For the others
+    # a substring test spares most of the patterns, which differ from row to row.
+    exact = F.col("needle") == F.col("anchor")
+    bounded = F.contains("text", "needle") & F.regexp_like(F.col("text"), F.col("pattern"))
     return (
-        found.filter(_matches(F.col("text"), F.col("needle"), F.col("pattern")))
+        found.filter(exact | bounded)
         .groupBy(key)
         .agg(F.array_sort(F.collect_set(F.struct("ord", "phrase", "weight"))).alias("hits"))
     )
@@ -134,16 +137,17 @@ def blocked_by_title(df: DataFrame, blocklist: Sequence[str] | DataFrame, title:
     """Add ``blocked``: some pattern is a case-insensitive substring of the title."""
     if isinstance(blocklist, DataFrame):
         patterns = blocklist.select(F.lower("pattern").alias("pattern")).distinct()
-        head = patterns.limit(SCAN_MAX_PATTERNS + 1).collect()
-        if len(head) > SCAN_MAX_PATTERNS:
-            return _blocked_by_join(df, patterns, title)
-        blocklist = [r.pattern for r in head]
-    patterns = sorted({p.lower() for p in blocklist})
+        blocklist = [r.pattern for r in patterns.limit(SCAN_MAX_PATTERNS + 1).collect()]
+    else:
+        blocklist = sorted({p.lower() for p in blocklist})
+        patterns = None
+    if len(blocklist) > SCAN_MAX_PATTERNS:
+        if patterns is None:
+            patterns = df.sparkSession.createDataFrame([(p,) for p in blocklist], "pattern string")
+        return _blocked_by_join(df, patterns, title)
     lowered = F.coalesce(F.lower(F.col(title)), F.lit(""))
-    if not patterns:
-        return df.withColumn("blocked", F.lit(False))
-    constant = F.array(*[F.lit(p) for p in patterns])
-    return df.withColumn("blocked", F.exists(constant, lambda p: F.contains(lowered, p)))
+    tests = [F.contains(lowered, F.lit(p)) for p in blocklist]
+    return df.withColumn("blocked", reduce(operator.or_, tests, F.lit(False)))
 
 
 def _blocked_by_join(df: DataFrame, patterns: DataFrame, title: str) -> DataFrame:

@@ -124,7 +124,6 @@ def run_batch(
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     spark = store.spark
     run_ts = run_ts or datetime.now(timezone.utc)
-    store.bootstrap()
 
     staged = store.replace(
         "staged",

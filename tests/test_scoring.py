@@ -110,8 +110,10 @@ def test_blocklist_table_short_and_long(spark, monkeypatch):
     want = {"Director": True, "sound": False, "SOUND Dev": True, "": False, "dba x": True}
     for most in (1000, 0):
         monkeypatch.setattr(scoring, "SCAN_MAX_PATTERNS", most)
-        got = scoring.blocked_by_title(df, table)
-        assert {r.url: r.blocked for r in got.collect()} == want
+        for blocklist in (table, ["CTO", "dev", "dba "]):
+            got = scoring.blocked_by_title(df, blocklist)
+            assert {r.url: r.blocked for r in got.collect()} == want
+    assert scoring.blocked_by_title(df, []).filter("blocked").count() == 0
 
 
 def test_target_floor(spark):
