@@ -237,10 +237,17 @@ def _after_run(spark: SparkSession, sf: str, mode: str = "live") -> ListingStore
     landing = store.path("landing")
     write_landing(v.all_payloads(spark, sf), landing)
     payloads = spark.read.parquet(landing)
-    run_batch(store, payloads, v.run_config(spark, sf), "b1", RUN_TS, mode)
+    run_batch(store, payloads, _config(store, sf), "b1", RUN_TS, mode)
     return store
 
 
+def _config(store: ListingStore, sf: str):
+    """The run configuration with its roster stored as a table, as an installation has it."""
+    path = store.path("roster")
+    v.page_roster(store.spark, sf).write.mode("overwrite").parquet(path)
+    return v.run_config(store.spark, store.spark.read.parquet(path))
+
+
 def stored_listings(spark: SparkSession, sf: str) -> DataFrame:
     return _after_run(spark, sf).read("jobs").select(
         "job_id", "title", "company", "location", "url", "source", "score", "blocked", "is_target",
@@ -271,7 +278,7 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     """All payloads as files, polled a few files at a time, then all over again."""
     store = _store(spark)
     landing = store.path("landing")
-    config = v.run_config(spark, sf)
+    config = _config(store, sf)
     write_landing(v.all_payloads(spark, sf), landing)
     for name in ("first", "again"):
         stream = read_landing(spark, landing, max_files=8)
@@ -284,7 +291,7 @@ def stream_scored(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark)
     landing, out = store.path("landing"), store.path("scored")
     write_landing(v.all_payloads(spark, sf), landing)
-    scored = score_stream(read_landing(spark, landing), v.run_config(spark, sf))
+    scored = score_stream(read_landing(spark, landing), _config(store, sf))
     query = (
         scored.writeStream.format("parquet")
         .option("path", out)

@@ -223,8 +223,8 @@ def all_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def run_config(spark: SparkSession, sf_dir: str) -> RunConfig:
-    return RunConfig(lexicon(spark), page_roster(spark, sf_dir), BLOCKLIST)
+def run_config(spark: SparkSession, roster: DataFrame) -> RunConfig:
+    return RunConfig(lexicon(spark), roster, BLOCKLIST)
 
 
 def customer_roster(spark: SparkSession, sf_dir: str) -> DataFrame:

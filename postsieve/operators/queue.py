@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postsieve.store.folders import ensure_checkpoint_dir
+
 ALERT_ORDER = ("score", "seen_at", "job_id")
 
 
@@ -36,10 +38,14 @@ def number_rows(
     shifted by the sizes of the cells before it. A level value that holds most rows
     is thus spread over 16**digits tasks; only counts are ordered level by level.
     The levels must not be null.
+
+    The counts are taken in a job of their own over the order's columns and kept in a
+    checkpoint, which every level reads.
     """
     cell = [*levels, "_cell"]
     rows = df.withColumn("_cell", F.left(F.col(unique), F.lit(digits)))
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     within = W.partitionBy(*cell).orderBy(unique)
     return (
         rows.join(_rows_before(counts, cell), cell)

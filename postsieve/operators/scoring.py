@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import search_text
+from postsieve.operators.sizes import BROADCAST_MAX_BYTES, at_most, hashed_bytes
 from postsieve.schemas import LEXICON
 
 BLOCKED_MARK = "[BLOCKED: title match]"
 
 SCAN_MAX_PHRASES = 64
 SCAN_MAX_PATTERNS = 256
-BROADCAST_MAX_BYTES = 32 << 20
 
 # Letters, numbers and underscore. \w and \b differ between JDK releases.
 _WORD = r"[\p{L}\p{N}_]"
@@ -80,17 +80,12 @@ class Lexicon:
         if isinstance(lexicon, cls):
             return lexicon
         table = prepare_lexicon(lexicon)
-        head = table.orderBy("ord").limit(scan_max + 1).collect()
-        short = len(head) <= scan_max
-        size = 0
-        if short:
-            empty = sum(not e.phrase for e in head)
-        else:
-            width = F.length("phrase") + F.length("needle") + F.length("pattern") + F.length("anchor") + 64
-            empty, size = table.agg(F.count_if(F.coalesce(F.length("phrase"), F.lit(0)) == 0), F.sum(width)).first()
-        if empty:
-            raise ValueError(f"{empty} empty phrase(s) in lexicon")
-        return cls(table, tuple(head) if short else None, 4 * size <= BROADCAST_MAX_BYTES)
+        if table.filter(F.coalesce(F.length("phrase"), F.lit(0)) == 0).limit(1).count():
+            raise ValueError("empty phrase in lexicon")
+        entries = at_most(table, scan_max)
+        if entries is not None:
+            return cls(table, tuple(sorted(entries)), True)
+        return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES)
 
 
 def scan_hits(text: Column, entries: Sequence) -> Column:
@@ -137,14 +132,15 @@ def blocked_by_title(df: DataFrame, blocklist: Sequence[str] | DataFrame, title:
     """Add ``blocked``: some pattern is a case-insensitive substring of the title."""
     if isinstance(blocklist, DataFrame):
         patterns = blocklist.select(F.lower("pattern").alias("pattern")).distinct()
-        blocklist = [r.pattern for r in patterns.limit(SCAN_MAX_PATTERNS + 1).collect()]
+        rows = at_most(patterns, SCAN_MAX_PATTERNS)
+        if rows is None:
+            return _blocked_by_join(df, patterns, title)
+        blocklist = [r.pattern for r in rows]
     else:
         blocklist = sorted({p.lower() for p in blocklist})
-        patterns = None
-    if len(blocklist) > SCAN_MAX_PATTERNS:
-        if patterns is None:
+        if len(blocklist) > SCAN_MAX_PATTERNS:
             patterns = df.sparkSession.createDataFrame([(p,) for p in blocklist], "pattern string")
-        return _blocked_by_join(df, patterns, title)
+            return _blocked_by_join(df, patterns, title)
     lowered = F.coalesce(F.lower(F.col(title)), F.lit(""))
     tests = [F.contains(lowered, F.lit(p)) for p in blocklist]
     return df.withColumn("blocked", reduce(operator.or_, tests, F.lit(False)))

@@ -3,16 +3,29 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postsieve.operators.sizes import at_most, broadcast_if_small
+
+
+# Up to this many distinct names become a constant set; more are joined.
+SCAN_MAX_NAMES = 1_000
+
+
+def _lowered(names: DataFrame) -> DataFrame:
+    return names.select(F.lower("name").alias("_target")).filter("_target is not null").distinct()
+
 
 def mark_targets(df: DataFrame, names: DataFrame) -> DataFrame:
     """Add ``is_target``: the company equals some ``names.name`` ignoring case.
 
-    The join is left to the optimizer: names that are small by its size estimate are
-    broadcast, others are shuffled and skewed companies split at run time.
+    A few names become a constant set, and the listings stay where they are. Many are
+    joined; names are distinct, so a skewed company can be split at run time.
     """
-    targets = names.select(F.lower("name").alias("_target")).filter("_target is not null").distinct()
-    flagged = targets.withColumn("is_target", F.lit(True))
+    targets = _lowered(names)
     company = F.lower(F.coalesce(F.col("company"), F.lit("")))
+    few = at_most(targets, SCAN_MAX_NAMES)
+    if few is not None:
+        return df.withColumn("is_target", company.isin([r[0] for r in few]) if few else F.lit(False))
+    flagged = broadcast_if_small(targets).withColumn("is_target", F.lit(True))
     return (
         df.join(flagged, company == F.col("_target"), "left")
         .drop("_target")
@@ -22,8 +35,7 @@ def mark_targets(df: DataFrame, names: DataFrame) -> DataFrame:
 
 def only_targets(df: DataFrame, names: DataFrame) -> DataFrame:
     """The listings of target companies."""
-    targets = names.select(F.lower("name").alias("_target")).distinct()
-    return df.join(targets, F.lower("company") == F.col("_target"), "left_semi")
+    return mark_targets(df, names).filter("is_target").drop("is_target")
 
 
 def apply_target_floor(df: DataFrame, names: DataFrame) -> DataFrame:

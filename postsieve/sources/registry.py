@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postsieve.schemas import STAGED
 from postsieve.sources import boards, feeds
-from postsieve.sources.roster import with_company
+from postsieve.sources.roster import fits_broadcast, with_company
 
 
 @dataclass(frozen=True)
@@ -41,13 +41,15 @@ class SourceRegistry:
     def board_kinds(self) -> list[str]:
         return self.kinds(boards_only=True)
 
-    def apply(self, kind: str, payloads: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    def apply(
+        self, kind: str, payloads: DataFrame, roster: DataFrame | None = None, small_roster: bool | None = None
+    ) -> DataFrame:
         """Normalise the payloads of one kind. A literal filter on ``source_kind`` goes
         first, so a landing table partitioned by it is read once over all kinds."""
         source = self._sources[kind]
         mine = payloads.filter(F.col("source_kind") == F.lit(kind))
         if source.is_board and roster is not None:
-            mine = with_company(mine, roster.filter(F.col("ats") == F.lit(kind)))
+            mine = with_company(mine, roster.filter(F.col("ats") == F.lit(kind)), small_roster)
         mine = mine.withColumn("src_rank", F.lit(source.rank)).withColumn(
             "endpoint_ord", F.coalesce("endpoint_ord", F.lit(0))
         )
@@ -86,7 +88,8 @@ def normalise(
     """
     registry = registry or default_registry()
     chosen = [k for k in registry.kinds(boards_only) if kinds is None or k in kinds]
-    parts = [registry.apply(k, payloads, roster) for k in chosen]
-    if not parts:
+    if not chosen:
         raise ValueError("no source selected")
+    small = fits_broadcast(roster) if set(chosen) & set(registry.board_kinds()) else None
+    parts = [registry.apply(k, payloads, roster, small) for k in chosen]
     return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.operators.dedup import first_wins
+from postsieve.operators.sizes import BROADCAST_MAX_BYTES, hashed_bytes
 from postsieve.schemas import QUARANTINE, ROSTER
 from postsieve.sources.explode import UNSUPPORTED
 
@@ -22,13 +23,22 @@ def first_endpoints(roster: DataFrame) -> DataFrame:
     return first_wins(roster, key=("ats", "token"), order=("ord",))
 
 
-def with_company(payloads: DataFrame, roster: DataFrame) -> DataFrame:
-    """Board payloads of rostered endpoints, with the roster's company name and order."""
+def fits_broadcast(roster: DataFrame) -> bool:
+    return hashed_bytes(roster) <= BROADCAST_MAX_BYTES
+
+
+def with_company(payloads: DataFrame, roster: DataFrame, small: bool | None = None) -> DataFrame:
+    """Board payloads of rostered endpoints, with the roster's company name and order.
+
+    Bodies are wide, so a roster known to be ``small`` is broadcast to them; by default
+    its size is looked up.
+    """
+    small = fits_broadcast(roster) if small is None else small
     endpoints = first_endpoints(roster).select(
         F.col("ats").alias("source_kind"), "token", F.col("name").alias("_name"), F.col("ord").alias("_ord")
     )
     return (
-        payloads.join(endpoints, ["source_kind", "token"])
+        payloads.join(F.broadcast(endpoints) if small else endpoints, ["source_kind", "token"])
         .withColumn("company", F.col("_name"))
         .withColumn("endpoint_ord", F.col("_ord"))
         .drop("_name", "_ord")

@@ -6,8 +6,6 @@ store as it was. Nothing is ever updated: what was delivered is a ledger of its
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +27,6 @@ TABLES = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it in spark.checkpoint.dir.
-
-    Only a local session may do without one; it gets a new temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 class ListingStore:
     """Tables under one root path on shared storage."""
 

@@ -145,3 +145,25 @@ def test_scan_form_has_no_shuffle(spark):
     plan = score_listings(df, lexicon_frame(spark, defaults.KEYWORD_WEIGHTS), defaults.TITLE_BLOCKLIST)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Join" not in text
+
+
+def test_many_target_names_are_joined(spark, monkeypatch):
+    from postsieve.operators import targets
+
+    names = spark.createDataFrame([("Acme",), ("ACME",), (None,)], "name string")
+    df = listing_frame(spark, listing("a", company="aCME", url="1"), listing("b", company=None, url="2"))
+    for most in (1000, 0):
+        monkeypatch.setattr(targets, "SCAN_MAX_NAMES", most)
+        assert {r.url: r.is_target for r in targets.mark_targets(df, names).collect()} == {"1": True, "2": False}
+        assert [r.url for r in only_targets(df, names).collect()] == ["1"]
+    assert targets.mark_targets(df, names.limit(0)).filter("is_target").count() == 0
+
+
+def test_broadcast_needs_a_proven_size(spark):
+    from postsieve.operators.sizes import at_most, broadcast_if_small, hashed_bytes
+
+    df = spark.range(100).selectExpr("repeat('x', 10) as a")
+    assert hashed_bytes(df) == 4 * 100 * (64 + 8 + 10) and hashed_bytes(df.limit(0)) == 0
+    hinted = lambda d: "strategy=broadcast" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, 1000))
+    assert len(at_most(df, 100)) == 100 and at_most(df, 99) is None
