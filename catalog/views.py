@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postsieve.operators.dedup import first_wins, with_key
 from postsieve.operators.scoring import lexicon_frame, score_listings
 from postsieve.operators.targets import apply_target_floor
 from postsieve.plans import RunConfig
-from postsieve.schemas import RAW_PAYLOAD
+from postsieve.schemas import RAW_PAYLOAD, local_frame
 
 PHRASES = {"the and": 8, "und das": 5, "De La": 6, "of the": 7, "of the and": 9}
 BLOCKLIST = ["EAUX", "reher"]
@@ -46,7 +47,7 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in TARGETS], "name string")
+    return local_frame(spark, [(n,) for n in TARGETS], T.StructType([T.StructField("name", T.StringType())]))
 
 
 def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

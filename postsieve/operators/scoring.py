@@ -13,17 +13,15 @@ the physical forms below only differ in how they avoid evaluating it:
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import search_text
 from postsieve.operators.sizes import BROADCAST_MAX_BYTES, at_most, hashed_bytes
-from postsieve.schemas import LEXICON
+from postsieve.schemas import LEXICON, local_frame
 
 BLOCKED_MARK = "[BLOCKED: title match]"
 
@@ -38,8 +36,7 @@ _HITS = "array<struct<ord:int,phrase:string,weight:int>>"
 
 def lexicon_frame(spark: SparkSession, weights: Mapping[str, int]) -> DataFrame:
     """Lexicon table from a phrase → weight mapping, in its own order."""
-    rows = [(i, phrase, int(w)) for i, (phrase, w) in enumerate(weights.items())]
-    return spark.createDataFrame(rows, LEXICON)
+    return local_frame(spark, [(i, p, int(w)) for i, (p, w) in enumerate(weights.items())], LEXICON)
 
 
 def match_pattern(needle: Column) -> Column:
@@ -80,26 +77,32 @@ class Lexicon:
         if isinstance(lexicon, cls):
             return lexicon
         table = prepare_lexicon(lexicon)
-        if table.filter(F.coalesce(F.length("phrase"), F.lit(0)) == 0).limit(1).count():
-            raise ValueError("empty phrase in lexicon")
         entries = at_most(table, scan_max)
+        empty = F.coalesce(F.length("phrase"), F.lit(0)) == 0
+        if any(not e.phrase for e in entries) if entries is not None else table.filter(empty).limit(1).count():
+            raise ValueError("empty phrase in lexicon")
         if entries is not None:
             return cls(table, tuple(sorted(entries)), True)
         return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES)
 
 
-def scan_hits(text: Column, entries: Sequence) -> Column:
-    """Matched (ord, phrase, weight) structs in lexicon order: one constant pattern per
-    phrase, compiled once per task."""
-    if not entries:
-        return F.array().cast(_HITS)
+def _literal(text: str) -> str:
+    """``text`` as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def found(e) -> Column:
-        hit = F.struct(*[F.lit(e[c]).alias(c) for c in ("ord", "phrase", "weight")])
-        # The substring test runs on the stored bytes; most texts need no more.
-        return F.when(F.contains(text, F.lit(e.needle)), F.when(text.rlike(e.pattern), hit))
 
-    return F.array_compact(F.array(*[found(e) for e in entries]))
+def scan_hits(text: str, entries: Sequence) -> Column:
+    """Matched (ord, phrase, weight) structs in lexicon order, from the column ``text``.
+
+    One SQL expression: the substring test runs on the stored bytes, and most texts
+    need no more; patterns are constants, compiled once per task.
+    """
+    tests = [
+        f"if(contains({text}, {_literal(e.needle)}), if(rlike({text}, {_literal(e.pattern)}),"
+        f" named_struct('ord', {e.ord}, 'phrase', {_literal(e.phrase)}, 'weight', {e.weight}), null), null)"
+        for e in entries
+    ]
+    return F.expr(f"array_compact(array({', '.join(tests)}))") if tests else F.array().cast(_HITS)
 
 
 def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
@@ -141,9 +144,8 @@ def blocked_by_title(df: DataFrame, blocklist: Sequence[str] | DataFrame, title:
         if len(blocklist) > SCAN_MAX_PATTERNS:
             patterns = df.sparkSession.createDataFrame([(p,) for p in blocklist], "pattern string")
             return _blocked_by_join(df, patterns, title)
-    lowered = F.coalesce(F.lower(F.col(title)), F.lit(""))
-    tests = [F.contains(lowered, F.lit(p)) for p in blocklist]
-    return df.withColumn("blocked", reduce(operator.or_, tests, F.lit(False)))
+    tests = [f"contains(coalesce(lower(`{title}`), ''), {_literal(p)})" for p in blocklist]
+    return df.withColumn("blocked", F.expr(" or ".join(tests) or "false"))
 
 
 def _blocked_by_join(df: DataFrame, patterns: DataFrame, title: str) -> DataFrame:
@@ -185,7 +187,7 @@ def score_listings(
     if lexicon.entries is not None:
         texts = judged.withColumn("_text", F.when(~F.col("blocked"), text))
         matched = texts.withColumn(
-            "_hits", F.when(~F.col("blocked"), scan_hits(F.col("_text"), lexicon.entries))
+            "_hits", F.when(~F.col("blocked"), scan_hits("_text", lexicon.entries))
         ).drop("_text")
     else:
         row_key = F.col(key) if key else F.sha2(text, 256)

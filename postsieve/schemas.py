@@ -1,6 +1,11 @@
 """Explicit schemas of every table the library reads or writes."""
 
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def _struct(spec: str) -> T.StructType:
@@ -62,3 +67,12 @@ SUMMARIES = _struct("payload string")
 def partitioned(schema: T.StructType, column: str) -> T.StructType:
     """The schema as stored: its columns plus a string partition column."""
     return T.StructType(schema.fields + [T.StructField(column, T.StringType(), True)])
+
+
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """Rows given in the program as a local relation: its size is known to the optimizer
+    and reading it takes no job."""
+    columns = list(zip(*rows)) or [()] * len(schema.fields)
+    return spark.createDataFrame(
+        pa.table([list(c) for c in columns], schema=to_arrow_schema(schema)), schema
+    )

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from postsieve.operators.dedup import first_wins
 from postsieve.operators.sizes import BROADCAST_MAX_BYTES, hashed_bytes
-from postsieve.schemas import QUARANTINE, ROSTER
+from postsieve.schemas import QUARANTINE, ROSTER, local_frame
 from postsieve.sources.explode import UNSUPPORTED
 
 
 def roster_frame(spark: SparkSession, entries: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Roster table from (name, ats, token) entries in their own order."""
-    return spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], ROSTER)
+    return local_frame(spark, [(i, *e) for i, e in enumerate(entries)], ROSTER)
 
 
 def first_endpoints(roster: DataFrame) -> DataFrame:

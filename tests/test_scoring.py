@@ -69,8 +69,8 @@ def test_forms_agree_with_the_rule_on_random_text(spark, form):
     alphabet = ["a", "b", "ü", ".", "+", " ", " ", "_", "1", "Σ"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 24))) for _ in range(400)]
     phrases = {"".join(rng.choices(alphabet, k=rng.randint(1, 4))): rng.randint(1, 10) for _ in range(200)}
-    phrases.update({"\\Ea": 1, "++": 2, "a|b": 3})
-    texts += ["x\\Ea", "c++b", "a|b"]
+    phrases.update({"\\Ea": 1, "++": 2, "a|b": 3, "it's": 4, 'a"\\n%': 5, "b\nc": 6})
+    texts += ["x\\Ea", "c++b", "a|b", "it's", 'a"\\n%x', "b\nc"]
     df = listing_frame(spark, *[listing(t, url=str(i), company="a b") for i, t in enumerate(texts)])
     got = scores(score_listings(df, forms(lexicon_frame(spark, phrases))[form], key="url"))
     for i, t in enumerate(texts):
