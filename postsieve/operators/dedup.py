@@ -12,6 +12,9 @@ from postsieve.functions.keys import listing_key
 
 ARRIVAL = ("src_rank", "endpoint_ord", "src_pos")
 
+# Decides between rows of one place, as when an endpoint was landed twice in a batch.
+CONTENT = ("source", "title", "location", "description")
+
 # A batch of at most this many keys (about 100 bytes each in a hash table) is
 # broadcast to the store instead of shuffling the store to it.
 BROADCAST_MAX_KEYS = 1_000_000
@@ -32,14 +35,21 @@ def first_wins(df: DataFrame, key: Sequence[str] = ("job_id",), order: Sequence[
     return df.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
 
 
-def new_only(batch: DataFrame, store: DataFrame, batch_rows: int | None = None, key: str = "job_id") -> DataFrame:
+def new_only(
+    batch: DataFrame,
+    store: DataFrame,
+    batch_rows: int | None = None,
+    key: str = "job_id",
+    keys: DataFrame | None = None,
+) -> DataFrame:
     """The rows of ``batch`` whose key the store does not hold.
 
     ``batch_rows`` is a known bound on the batch. When it is small the store is cut to
-    the batch's keys where it lies, and only the hits move.
+    the batch's keys where it lies, and only the hits move. ``keys`` may name a cheaper
+    table with the same keys as the batch.
     """
     known = store.select(key)
     if batch_rows is not None and batch_rows <= BROADCAST_MAX_KEYS:
-        keys = batch.select(key).distinct()
+        keys = (batch if keys is None else keys).select(key).distinct()
         known = known.join(F.broadcast(keys), key, "left_semi").distinct()
     return batch.join(known, key, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from postsieve import defaults
 from postsieve.operators.alerts import alert_payloads, summary_payload
 from postsieve.operators.counts import error_list, error_messages
-from postsieve.operators.dedup import first_wins, new_only, with_key
+from postsieve.operators.dedup import ARRIVAL, CONTENT, first_wins, new_only, with_key
 from postsieve.operators.queue import number_rows, pending
 from postsieve.operators.scoring import Lexicon, lexicon_frame, score_listings
 from postsieve.operators.targets import apply_target_floor
@@ -70,8 +70,9 @@ def new_listings(
     Scoring comes last: a copy's score would be thrown away, and a stored one never
     changes. The key's partitioning serves all steps.
     """
-    firsts = first_wins(with_key(listings))
-    fresh = new_only(firsts, stored, batch_rows)
+    keyed = with_key(listings)
+    firsts = first_wins(keyed, order=(*ARRIVAL, *CONTENT))
+    fresh = new_only(firsts, stored, batch_rows, keys=keyed)
     scored = score_listings(fresh, config.lexicon, config.blocklist, key="job_id")
     floored = apply_target_floor(scored, config.roster.select("name"))
     return floored.filter(~F.col("blocked")) if config.drop_blocked else floored

@@ -9,7 +9,7 @@ from postsieve.operators.alerts import alert_payloads, summary_payload
 from postsieve.operators.dedup import first_wins, new_only, with_key
 from postsieve.operators.queue import alert_order, at_least, number_rows, pending
 from postsieve.operators.scoring import lexicon_frame
-from postsieve.plans import RunConfig, run_batch
+from postsieve.plans import RunConfig, new_listings, run_batch
 from postsieve.schemas import RUNS
 from postsieve.sources import roster_frame
 from postsieve.store import ListingStore
@@ -44,6 +44,14 @@ def test_new_only(spark, rows):
     assert {r.job_id for r in new_only(batch, store, rows).collect()} == {"a", "c"}
 
 
+def test_an_endpoint_landed_twice_gives_one_fixed_winner(spark, config):
+    rows = [listing("A", "Acme", "u", description=d, location=loc) for d in ("x", "y") for loc in ("p", "o")]
+    for n in (1, 2, 4):
+        stored = spark.createDataFrame([], "job_id string")
+        out = new_listings(listing_frame(spark, *rows).repartition(n), stored, config, 4).collect()
+        assert [(r.location, r.description) for r in out] == [("o", "x")]
+
+
 def queue_rows(spark, n):
     df = spark.range(n).select(
         F.left(F.sha1(F.col("id").cast("string")), F.lit(16)).alias("job_id"),
