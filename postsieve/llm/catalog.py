@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import byte_bpe, chat, exact
+from postsieve.llm import byte_bpe, chat, exact, licenses, secrets, toxicity
 from postsieve.llm.common import table
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf, "documents"), licenses.templates(spark)))
+
+
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(table(spark, sf, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +41,9 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_toxicity": op5_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
