@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import byte_bpe, chat, exact, licenses, secrets, toxicity
+from postsieve.llm import byte_bpe, chat, exact, lattice, licenses, secrets, toxicity
 from postsieve.llm.common import table
 
 
+def op1_lattice_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.link_vectors(table(spark, sf, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf, "documents"), licenses.templates(spark)))
 
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_dedup": op1_lattice_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
     "op5_toxicity": op5_toxicity,
