@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import byte_bpe, chat, exact, lattice, licenses, secrets, toxicity
+from postsieve.llm import byte_bpe, chat, exact, jaccard, lattice, licenses, secrets, toxicity
 from postsieve.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(table(spark, sf, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf, "labels")))
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
