@@ -1,8 +1,8 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents are sets of word shingles. Equal sets form one record. Two records that reach
-the threshold share a shingle among their rarest ones (all lists that grow long come last
-in the order, the rest follows the hash), so short inverted lists of those name the
+the threshold share a shingle among their rarest ones (shingles of long lists come last in
+the order, by their counts; the others follow the hash), so short inverted lists of those name the
 candidates. Blocks of candidates then meet a query record in a T-occurrence search over
 inverted lists of all shingles: the long lists are set apart, the short ones are merged
 with a heap, and the long ones probed by binary search (DivideSkip).
@@ -25,7 +25,9 @@ from postsieve.llm.common import as_bytes, components, cut, mix, pieces
 from postsieve.llm.words import GRAM_STEP, SPACED, grams, split_words
 
 WORDS, PERCENT = 4, 85
-LONG_LIST = 40
+LONG_LIST = 20
+LOCAL_LIST = 3  # occurrences in one piece of the input that make a shingle worth counting
+PIECE_BYTES = 16 << 20
 BLOCK = 256
 HEAVY_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
@@ -55,14 +57,26 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def head(shingles: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the global order, of which any partner has at least one."""
-    count = len(shingles) - needed(len(shingles), percent) + 1 if len(shingles) else 0
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)
-        late = heavy[at] == shingles
-        shingles = np.concatenate((shingles[~late], shingles[late]))
-    return shingles[:count]
+class Order:
+    """The global order of shingles: those without long lists by hash, then the others by
+    ascending count. Any order gives the same links; this one keeps candidate lists short."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        by_token = np.argsort(tokens)
+        self.tokens = tokens[by_token]
+        self.place = np.empty(len(tokens), np.int64)
+        self.place[np.lexsort((self.tokens, counts[by_token]))] = np.arange(len(tokens))
+
+    def head(self, shingles: np.ndarray, percent: int) -> np.ndarray:
+        """The first of a sorted set of shingles, of which any partner has at least one."""
+        count = len(shingles) - needed(len(shingles), percent) + 1 if len(shingles) else 0
+        if len(self.tokens) and count:
+            at = np.minimum(np.searchsorted(self.tokens, shingles), len(self.tokens) - 1)
+            late = self.tokens[at] == shingles
+            if late.any():
+                last = shingles[late][np.argsort(self.place[at[late]])]
+                shingles = np.concatenate((shingles[~late], last))
+        return shingles[:count]
 
 
 def divide_skip(lists: list[list[int]], need: list[int], short: int) -> dict[int, int]:
@@ -130,7 +144,7 @@ def search(query: np.ndarray, records: list[np.ndarray], percent: int = PERCENT)
 RECORDS = "doc_id long, n_shingles long, digest binary, head array<long>"
 
 
-def record_rows(docs: DataFrame, heavy: np.ndarray, k: int, percent: int) -> DataFrame:
+def record_rows(docs: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
     """RECORDS of each row: set size, digest of the set, and its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +152,7 @@ def record_rows(docs: DataFrame, heavy: np.ndarray, k: int, percent: int) -> Dat
             ids, texts = batch.column(0), as_bytes(batch.column(1).to_pylist())
             for part in pieces(np.array([len(t) for t in texts]), 2_000_000):
                 sets = shingle_sets(texts[part], k)
-                heads = [head(s, shared.value, percent).view(np.int64) for s in sets]
+                heads = [shared.value.head(s, percent).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(part.start, len(sets)),
@@ -149,20 +163,35 @@ def record_rows(docs: DataFrame, heavy: np.ndarray, k: int, percent: int) -> Dat
                     names=["doc_id", "n_shingles", "digest", "head"],
                 )
 
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     return docs.mapInArrow(run, RECORDS)
 
 
-def long_lists(docs: DataFrame, k: int, percent: int, long_list: int) -> np.ndarray:
-    """Sorted shingles that the heads of more than ``long_list`` documents hold when all
-    shingles follow the hash. Where they would take more than HEAVY_BYTES, the longest."""
-    heads = record_rows(docs, np.zeros(0, np.uint64), k, percent).select(F.explode("head").alias("token"))
-    counts = cut(heads.groupBy("token").count().filter(F.col("count") > long_list))
-    limit = HEAVY_BYTES // 8
-    while counts.filter(F.col("count") > long_list).count() > limit:
+def long_lists(docs: DataFrame, k: int, percent: int, long_list: int = LONG_LIST, local: int = LOCAL_LIST) -> Order:
+    """The order that puts frequent shingles last.
+
+    Every piece of the input (PIECE_BYTES of texts) counts all its shingles, equal sets
+    once, and sends those with ``local`` and more; the sums that reach ``long_list`` make
+    the order. A missed count costs time, never a link. Where the frequent shingles would
+    take more than HEAVY_BYTES, the bar rises.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(0).to_pylist())
+            for part in pieces(np.array([len(t) for t in texts]), PIECE_BYTES):
+                some = list(dict.fromkeys(texts[part]))
+                sets = [s for small in pieces(np.array([len(t) for t in some]), 2_000_000) for s in shingle_sets(some[small], k)]
+                tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                often = counts >= local
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = cut(counts.filter(F.col("n") >= long_list))
+    while counts.filter(F.col("n") >= long_list).count() > HEAVY_BYTES // 16:
         long_list *= 2
-    found = counts.filter(F.col("count") > long_list).select("token").toArrow().column("token").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    found = counts.filter(F.col("n") >= long_list).toArrow()
+    return Order(found.column("token").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy())
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -236,8 +265,7 @@ def join_documents(
     several texts: any of them may link it. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    heavy = long_lists(docs, k, percent, long_list)
-    rows = cut(record_rows(docs, heavy, k, percent))
+    rows = cut(record_rows(docs, long_lists(docs, k, percent, long_list), k, percent))
     able = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     first = able.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["digest"])
