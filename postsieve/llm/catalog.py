@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import byte_bpe, chat, exact, jaccard, lattice, licenses, secrets, toxicity
+from postsieve.llm import byte_bpe, chat, exact, jaccard, lattice, licenses, secrets, suffixes, toxicity
 from postsieve.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf, "documents")).drop("kept")
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
