@@ -121,6 +121,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its values, without Python numbers."""
+    out = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled texts (a third of them toxic where there
     are enough), chosen by a hash of their ids among those not held out.
@@ -152,8 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = texts.mapInArrow(run, "doc_id long, toxic int, buckets array<int>, counts array<int>").toArrow()
     ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
-    found, counts = rows.column("buckets").to_pylist, rows.column("counts").to_pylist
-    features = list(zip(map(np.array, found()), map(np.array, counts()), strict=True))
+    features = list(zip(_lists(rows.column("buckets")), _lists(rows.column("counts")), strict=True))
     by_id = sorted(range(len(ids)), key=lambda i: (ids[i], features[i][0].tobytes()))
     return train([features[i] for i in by_id], toxic[by_id].astype(np.int64) if len(ids) else np.zeros(0, np.int64))
 
