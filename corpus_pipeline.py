@@ -1,23 +1,75 @@
-"""A corpus pipeline of five stages, each written as Parquet and read by the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read by the next.
+
+Toxic documents go, then exact copies, then near copies; what stays is laid out as a
+mixture of its sources and encoded to token ids. Null texts count as empty everywhere:
+they score as harmless, are copies of each other, and encode to no ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postsieve.llm import byte_bpe, exact, jaccard, mixing, toxicity
 from postsieve.llm.common import cut, table
-from postsieve.llm.exact import drop_copies
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+# Sources count in the mixture as their rows to this power: below 1, small ones come earlier.
+MIX_POWER = 0.7
+BROADCAST_IDS = 1_000_000
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the cut go; the model is fitted on labelled rows."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(docs, model, score_col="_toxic").filter(F.col("_toxic") < toxicity.CUT).drop("_toxic")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    return drop_copies(docs)
+    return exact.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that 4-word shingles link, the one with the smallest id stays."""
+    linked = jaccard.join_documents(docs)
+    gone = cut(linked.filter("doc_id <> component_id").select("doc_id").distinct())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their rows and files in the order of the mixture."""
+    weights = mixing.proportional(docs, power=MIX_POWER)
+    if not weights:
+        return docs
+    return mixing.in_mixed_order(spark, mixing.mix_sources(docs, weights)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian uint32) in place of the text, and digests of
+    the ids and of what decodes from them."""
+    import public_tokenizers
+
+    blob = byte_bpe.rank_file(public_tokenizers.path(VOCABULARY))
+    out = byte_bpe.encode_texts(docs, blob, public_tokenizers.PATTERN)
+    return out.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix),
+    ("encode", encode),
+]
 
-STAGES = [("exact_dedup", exact_dedup)]
+# The fitted model, the schedule and the codec are not SQL; tests compare with plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; the result of the last one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))

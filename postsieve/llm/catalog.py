@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import byte_bpe, chat, exact, jaccard, lattice, licenses, secrets, suffixes, toxicity
+from postsieve.llm import byte_bpe, chat, exact, jaccard, lattice, licenses, mixing, secrets, suffixes, toxicity
 from postsieve.llm.common import table
 
 
@@ -34,6 +34,12 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf, "documents")).drop("kept")
 
 
+def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    mixed = mixing.mix_sources(docs, mixing.proportional(docs, power=0.7))
+    return mixed.select("doc_id", "source", "mix_slot", "mix_place", "mix_balanced")
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_mix_sources": op7_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
