@@ -9,6 +9,9 @@ the physical forms below only differ in how they avoid evaluating it:
 * anchored join: for a long lexicon. Each distinct word of a text is looked up
   among the phrases' anchors (their longest word), and only the phrases found are
   tested. The cost does not depend on the number of phrases.
+* row-local lookup: the long form on streams, where rows cannot be regrouped. The
+  lexicon is a constant array; of it only phrases whose anchor is a word of the text
+  are tested.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from postsieve.functions.text import search_text
 from postsieve.operators.sizes import BROADCAST_MAX_BYTES, at_most, hashed_bytes
 from postsieve.schemas import LEXICON, local_frame
 
-BLOCKED_MARK = "[BLOCKED: title match]"
+BLOCKED_MARK = "[BLOCKED: title match]"  # fixed value
 
+# Forms only; results do not depend on these. Above the last one (rows of a lexicon or
+# blocklist as constants of a plan) only batches are served, by a join.
 SCAN_MAX_PHRASES = 64
 SCAN_MAX_PATTERNS = 256
+CONSTANT_MAX_ROWS = 100_000
 
 # Letters, numbers and underscore. \w and \b differ between JDK releases.
 _WORD = r"[\p{L}\p{N}_]"
@@ -71,6 +77,9 @@ class Lexicon:
     table: DataFrame
     entries: tuple | None  # all rows, when the lexicon is short
     fits_broadcast: bool
+    constants: tuple | None = None  # all rows, when they may become constants of a plan
+    anchors: tuple = ()  # distinct anchors, likewise
+    has_wordless: bool = True  # some phrase has no word at all
 
     @classmethod
     def of(cls, lexicon: DataFrame | Lexicon, scan_max: int = SCAN_MAX_PHRASES) -> Lexicon:
@@ -82,8 +91,13 @@ class Lexicon:
         if any(not e.phrase for e in entries) if entries is not None else table.filter(empty).limit(1).count():
             raise ValueError("empty phrase in lexicon")
         if entries is not None:
-            return cls(table, tuple(sorted(entries)), True)
-        return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES)
+            return cls(table, tuple(sorted(entries)), True, tuple(entries))
+        constants = at_most(table, CONSTANT_MAX_ROWS)
+        if constants is None:
+            wordless = not table.filter("anchor = ''").limit(1).isEmpty()
+            return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES, has_wordless=wordless)
+        anchors = tuple(sorted({e.anchor for e in constants}))
+        return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES, tuple(constants), anchors, "" in anchors)
 
 
 def _literal(text: str) -> str:
@@ -105,21 +119,48 @@ def scan_hits(text: str, entries: Sequence) -> Column:
     return F.expr(f"array_compact(array({', '.join(tests)}))") if tests else F.array().cast(_HITS)
 
 
-def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
+def looked_up_hits(text: Column, entries: Sequence) -> Column:
+    """The same structs for a lexicon of any length, from the row alone."""
+    if not entries:
+        return F.array().cast(_HITS)
+    ordered = sorted(entries, key=lambda e: (e.ord, e.phrase, e.weight))
+    fields = ("ord", "phrase", "weight", "needle", "pattern", "anchor")
+    columns = F.arrays_zip(*[F.lit([getattr(e, f) for e in ordered]).alias(f) for f in fields])
+    words = F.array_distinct(F.concat(F.split(text, _NOT_WORDS), F.array(F.lit(""))))
+    present = F.array_intersect(words, F.lit(sorted({e.anchor for e in entries})))
+    found = F.filter(
+        columns,
+        lambda e: F.array_contains(present, e["anchor"])
+        & ((e["needle"] == e["anchor"]) | (F.contains(text, e["needle"]) & F.regexp_like(text, e["pattern"]))),
+    )
+    return F.transform(found, lambda e: F.struct(e["ord"].alias("ord"), e["phrase"].alias("phrase"), e["weight"].alias("weight"))).cast(_HITS)
+
+
+def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon, unique: bool = False) -> DataFrame:
     """(key, hits) for the rows of ``texts(key, text)`` that match anything.
 
-    Rows of equal key must have equal text. Matches are aggregated per key before
-    they are shuffled, so copies of one text collapse where they lie.
+    Rows of equal key must have equal text; ``unique`` says that keys do not repeat.
+    Where the anchors are few enough to be constants, only words that are anchors leave
+    their row. Matches are aggregated per key before they are shuffled, so copies of one
+    text collapse where they lie.
     """
-    words = F.array_distinct(F.concat(F.split("text", _NOT_WORDS), F.array(F.lit(""))))
+    words = F.array_distinct(F.split("text", _NOT_WORDS))
+    if lexicon.has_wordless:
+        words = F.array_distinct(F.concat(words, F.array(F.lit(""))))
+    elif not lexicon.anchors:
+        words = F.filter(words, lambda w: w != "")
+    if lexicon.anchors:
+        words = F.array_intersect(words, F.lit(list(lexicon.anchors)))
     if lexicon.fits_broadcast:
         found = texts.select(key, "text", F.explode(words).alias("anchor")).join(
             F.broadcast(lexicon.table), "anchor"
         )
     else:
         # Keys and words only go through the large join; texts come back by key.
-        candidates = texts.select(key, F.explode(words).alias("anchor")).distinct().join(lexicon.table, "anchor")
-        found = candidates.join(texts.groupBy(key).agg(F.any_value("text").alias("text")), key)
+        candidates = texts.select(key, F.explode(words).alias("anchor"))
+        candidates = (candidates if unique else candidates.distinct()).join(lexicon.table, "anchor")
+        once = texts if unique else texts.groupBy(key).agg(F.any_value("text").alias("text"))
+        found = candidates.join(once, key)
     # A phrase that is a single word has been matched by the join itself. For the others
     # a substring test spares most of the patterns, which differ from row to row.
     exact = F.col("needle") == F.col("anchor")
@@ -132,18 +173,23 @@ def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
 
 
 def blocked_by_title(df: DataFrame, blocklist: Sequence[str] | DataFrame, title: str = "title") -> DataFrame:
-    """Add ``blocked``: some pattern is a case-insensitive substring of the title."""
+    """Add ``blocked``: some pattern is a case-insensitive substring of the title.
+
+    Row-local, also on streams, up to CONSTANT_MAX_ROWS patterns.
+    """
     if isinstance(blocklist, DataFrame):
         patterns = blocklist.select(F.lower("pattern").alias("pattern")).distinct()
-        rows = at_most(patterns, SCAN_MAX_PATTERNS)
+        rows = at_most(patterns, CONSTANT_MAX_ROWS)
         if rows is None:
             return _blocked_by_join(df, patterns, title)
         blocklist = [r.pattern for r in rows]
-    else:
-        blocklist = sorted({p.lower() for p in blocklist})
-        if len(blocklist) > SCAN_MAX_PATTERNS:
-            patterns = df.sparkSession.createDataFrame([(p,) for p in blocklist], "pattern string")
-            return _blocked_by_join(df, patterns, title)
+    blocklist = sorted({p.lower() for p in blocklist if p is not None})
+    if len(blocklist) > CONSTANT_MAX_ROWS:
+        patterns = df.sparkSession.createDataFrame([(p,) for p in blocklist], "pattern string")
+        return _blocked_by_join(df, patterns, title)
+    if len(blocklist) > SCAN_MAX_PATTERNS:
+        lowered = F.coalesce(F.lower(F.col(title)), F.lit(""))
+        return df.withColumn("blocked", F.exists(F.lit(blocklist), lambda p: F.contains(lowered, p)))
     tests = [f"contains(coalesce(lower(`{title}`), ''), {_literal(p)})" for p in blocklist]
     return df.withColumn("blocked", F.expr(" or ".join(tests) or "false"))
 
@@ -189,13 +235,22 @@ def score_listings(
         matched = texts.withColumn(
             "_hits", F.when(~F.col("blocked"), scan_hits("_text", lexicon.entries))
         ).drop("_text")
+    elif df.isStreaming:
+        if lexicon.constants is None:
+            raise ValueError(f"a stream takes a lexicon of at most {CONSTANT_MAX_ROWS} phrases")
+        texts = judged.withColumn("_text", F.when(~F.col("blocked"), text))
+        matched = texts.withColumn(
+            "_hits", F.when(~F.col("blocked"), looked_up_hits(F.col("_text"), lexicon.constants))
+        ).drop("_text")
     else:
         row_key = F.col(key) if key else F.sha2(text, 256)
-        keyed = judged.withColumn("_key", F.when(~F.col("blocked"), row_key)) if not key else judged
+        # blocked rows match nothing; keys of their own keep them from meeting in one task
+        apart = F.concat(F.lit("-"), F.xxhash64("title", "url", F.monotonically_increasing_id()).cast("string"))
+        keyed = judged.withColumn("_key", F.when(~F.col("blocked"), row_key).otherwise(apart)) if not key else judged
         by = key or "_key"
         texts = keyed.filter(~F.col("blocked")).select(by, text.alias("text"))
         matched = keyed.join(
-            anchored_hits(texts, by, lexicon).withColumnRenamed("hits", "_hits"), by, "left"
+            anchored_hits(texts, by, lexicon, unique=bool(key)).withColumnRenamed("hits", "_hits"), by, "left"
         ).select(*judged.columns, "_hits")
     hits = F.coalesce(F.col("_hits"), F.array().cast(_HITS))
     score = F.aggregate(hits, F.lit(0), lambda total, h: total + h["weight"])

@@ -36,10 +36,7 @@ def read_landing(
 
 
 def score_stream(payloads: DataFrame, config: RunConfig, boards_only: bool = False) -> DataFrame:
-    """Scored listings of a payload stream (or table), copies included; no state.
-
-    Needs a lexicon short enough to be scanned per row.
-    """
+    """Scored listings of a payload stream (or table), copies included; no state."""
     staged = normalise(payloads, config.roster, config.registry, boards_only=boards_only)
     listings = with_key(staged.filter(F.col("reason").isNull()).drop("reason", "detail", "raw"))
     scored = score_listings(listings, config.lexicon, config.blocklist)

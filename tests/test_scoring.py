@@ -25,10 +25,10 @@ def forms(lexicon):
     """Every physical form of one lexicon."""
     joined = Lexicon.of(lexicon, scan_max=0)
     shuffled = Lexicon(joined.table, None, False)
-    return {"scan": Lexicon.of(lexicon, scan_max=10_000), "join": joined, "shuffled": shuffled}
+    return {"unlisted": Lexicon(joined.table, None, True), "scan": Lexicon.of(lexicon, scan_max=10_000), "join": joined, "shuffled": shuffled}
 
 
-@pytest.mark.parametrize("form", ["scan", "join", "shuffled"])
+@pytest.mark.parametrize("form", ["scan", "join", "shuffled", "unlisted"])
 def test_edge_cases(spark, form):
     weights = {"Audio Software": 10, "audio software engineer": 9, "ssl": 1, "c++": 2, ".net": 3, "über uns": 4}
     lexicon = forms(lexicon_frame(spark, weights))[form]
@@ -63,7 +63,7 @@ def test_edge_cases(spark, form):
     }
 
 
-@pytest.mark.parametrize("form", ["scan", "join", "shuffled"])
+@pytest.mark.parametrize("form", ["scan", "join", "shuffled", "unlisted"])
 def test_forms_agree_with_the_rule_on_random_text(spark, form):
     rng = random.Random(7)
     alphabet = ["a", "b", "ü", ".", "+", " ", " ", "_", "1", "Σ"]
@@ -108,8 +108,9 @@ def test_blocklist_table_short_and_long(spark, monkeypatch):
     df = listing_frame(spark, *[listing(t, url=t) for t in ("Director", "sound", "SOUND Dev", "", "dba x")])
     table = spark.createDataFrame([("CTO",), ("dev",), ("dba ",)], "pattern string")
     want = {"Director": True, "sound": False, "SOUND Dev": True, "": False, "dba x": True}
-    for most in (1000, 0):
-        monkeypatch.setattr(scoring, "SCAN_MAX_PATTERNS", most)
+    for scanned, constant in ((1000, 1000), (0, 1000), (0, 1)):
+        monkeypatch.setattr(scoring, "SCAN_MAX_PATTERNS", scanned)
+        monkeypatch.setattr(scoring, "CONSTANT_MAX_ROWS", constant)
         for blocklist in (table, ["CTO", "dev", "dba "]):
             got = scoring.blocked_by_title(df, blocklist)
             assert {r.url: r.blocked for r in got.collect()} == want
@@ -140,6 +141,23 @@ def test_target_floor(spark):
     assert {r.url for r in only_targets(df, names).collect()} == {"1", "2", "3", "5"}
 
 
+@pytest.mark.parametrize("phrases", [64, 65])
+def test_row_local_lookup_equals_the_scan(spark, phrases):
+    rng = random.Random(phrases)
+    words = ["a", "ab", "ü", "c++", ".", "x_1", "Dsp", "++"]
+    weights = {}
+    while len(weights) < phrases:
+        weights.setdefault(" ".join(rng.choices(words, k=rng.randint(1, 3))), rng.randint(1, 9))
+    df = listing_frame(spark, *[listing(" ".join(rng.choices(words, k=rng.randint(0, 12))), url=str(i)) for i in range(200)])
+    lexicon = Lexicon.of(lexicon_frame(spark, weights), scan_max=0)
+    text = scoring.search_text("title", "description", "company")
+    looked = df.select("url", text.alias("t")).select("url", scoring.looked_up_hits(F.col("t"), lexicon.constants).alias("h"))
+    got = {r.url: [(h.ord, h.phrase, h.weight) for h in r.h] for r in looked.collect()}
+    scanned = Lexicon.of(lexicon_frame(spark, weights), scan_max=1000)
+    want = {r.url: [(h.ord, h.phrase, h.weight) for h in r.h] for r in df.select("url", text.alias("t")).select("url", scoring.scan_hits("t", scanned.entries).alias("h")).collect()}
+    assert got == want
+
+
 def test_scan_form_has_no_shuffle(spark):
     df = listing_frame(spark, listing("a"))
     plan = score_listings(df, lexicon_frame(spark, defaults.KEYWORD_WEIGHTS), defaults.TITLE_BLOCKLIST)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import payload, payload_frame
@@ -53,5 +54,19 @@ def test_scores_in_the_stream(spark, tmp_path):
     assert [(r.title, r.score, r.blocked) for r in rows] == [("A", 6, False), ("CTO", 1, True), ("A", 6, False)]
 
 
+@pytest.mark.parametrize("phrases,patterns", [(64, 256), (65, 257), (1500, 600)])
+def test_any_lexicon_and_blocklist_stream(spark, tmp_path, phrases, patterns):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    write_landing(board(spark, "A", "CTO now", "B"), landing)
+    weights = {"juce": 6, **{f"zq{i} engineer": 1 for i in range(phrases - 1)}}
+    blocked = ["cto", *[f"zz{i}" for i in range(patterns - 1)]]
+    long = RunConfig(lexicon_frame(spark, weights), roster_frame(spark, [("Acme", "lever", "acme")]), blocked)
+    scored = score_stream(read_landing(spark, landing), long)
+    writer = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).orderBy("src_pos").collect()
+    assert [(r.title, r.score, r.blocked) for r in rows] == [("A", 6, False), ("CTO now", 1, True), ("B", 6, False)]
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
