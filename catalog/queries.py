@@ -95,7 +95,8 @@ def threshold_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def pending_alerts(spark: SparkSession, sf: str) -> DataFrame:
     delivered = v.labelled_keys(spark, sf, quality=1)
-    return number_rows(pending(v.jobs(spark, sf), delivered, 5)).select(
+    jobs = v.jobs(spark, sf).select("job_key", "job_id", "score", "seen_at", "keywords", "title")
+    return number_rows(pending(jobs, delivered, 5)).select(
         "seq", "job_id", "score", fn.tier_label().alias("tier"), fn.render_list("keywords").alias("keywords"), "title"
     )
 

@@ -65,7 +65,7 @@ def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sightings of the documents, scored and floored, seen one day per source."""
     firsts = first_wins(with_key(listings(spark, sf_dir)))
-    scored = score_listings(firsts, lexicon(spark), BLOCKLIST, key="job_id")
+    scored = score_listings(firsts, lexicon(spark), BLOCKLIST, key="job_key")
     day = F.lit("2026-01-01").cast("date") + F.col("src_rank")
     return apply_target_floor(scored, targets(spark)).withColumn("seen_at", day.cast("timestamp"))
 
@@ -75,7 +75,7 @@ def labelled_keys(spark: SparkSession, sf_dir: str, **wanted: int) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     for column, value in wanted.items():
         labels = labels.filter(F.col(column) == value)
-    return with_key(listings(spark, sf_dir)).join(labels.select("doc_id"), "doc_id", "left_semi").select("job_id")
+    return with_key(listings(spark, sf_dir)).join(labels.select("doc_id"), "doc_id", "left_semi").select("job_key")
 
 
 def _page(c: str) -> Column:

@@ -8,24 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postsieve.functions.keys import listing_key
+from postsieve.functions.keys import ID_DIGITS, listing_digest
 
 ARRIVAL = ("src_rank", "endpoint_ord", "src_pos")
 
 # Decides between rows of one place, as when an endpoint was landed twice in a batch.
-CONTENT = ("source", "title", "location", "description")
+CONTENT = ("source", "title", "company", "url", "location", "description")
 
-# A batch of at most this many keys (about 100 bytes each in a hash table) is
-# broadcast to the store instead of shuffling the store to it.
-BROADCAST_MAX_KEYS = 1_000_000
+# A batch whose keys take at most this many bytes as a hash table (KEY_BYTES each, by the
+# digest's fixed width) is broadcast to the store instead of shuffling the store to it.
+BROADCAST_MAX_KEY_BYTES = 128 << 20
+KEY_BYTES = 128
 
 
 def with_key(df: DataFrame) -> DataFrame:
-    """Add ``job_id``."""
-    return df.withColumn("job_id", listing_key())
+    """Add ``job_key``, which tells listings apart, and ``job_id``, its printed prefix."""
+    return df.withColumn("job_key", listing_digest()).withColumn("job_id", F.left("job_key", F.lit(ID_DIGITS)))
 
 
-def first_wins(df: DataFrame, key: Sequence[str] = ("job_id",), order: Sequence[str] = ARRIVAL) -> DataFrame:
+def first_wins(df: DataFrame, key: Sequence[str] = ("job_key",), order: Sequence[str] = ARRIVAL) -> DataFrame:
     """One row per key: the earliest in ``order``.
 
     A rank-one window filter is limited before the shuffle, so each map task sends
@@ -39,7 +40,7 @@ def new_only(
     batch: DataFrame,
     store: DataFrame,
     batch_rows: int | None = None,
-    key: str = "job_id",
+    key: str = "job_key",
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of ``batch`` whose key the store does not hold.
@@ -49,7 +50,7 @@ def new_only(
     table with the same keys as the batch.
     """
     known = store.select(key)
-    if batch_rows is not None and batch_rows <= BROADCAST_MAX_KEYS:
+    if batch_rows is not None and KEY_BYTES * batch_rows <= BROADCAST_MAX_KEY_BYTES:
         keys = (batch if keys is None else keys).select(key).distinct()
         known = known.join(F.broadcast(keys), key, "left_semi").distinct()
     return batch.join(known, key, "left_anti")

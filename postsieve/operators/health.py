@@ -9,28 +9,22 @@ from postsieve.functions.text import truncate
 OK, EMPTY, HTTP_ERR, ERR = "OK", "EMPTY", "HTTP_ERR", "ERR"
 AUDITED_KINDS = ("greenhouse", "lever", "ashby")
 _INVALID = "invalid JSON"
+NO_RESPONSE = "no response"
+DETAIL_CHARS = 60  # fixed value
 
 
 def _not_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text).isNull(), F.lit(True))
 
 
-def probes(roster: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Every roster entry of an audited kind with the response of its endpoint.
+def classify(responses: DataFrame) -> DataFrame:
+    """(ats, token, fetched_at, status, detail) of each response of an audited kind.
 
-    Entries that share an endpoint are all kept; an entry without a response is an error.
-    """
-    kinds = roster.filter(F.col("ats").isin(*AUDITED_KINDS))
-    responses = payloads.select(F.col("source_kind").alias("ats"), "token", "status_code", "error", "body")
-    return kinds.join(responses, ["ats", "token"], "left")
-
-
-def classify(probed: DataFrame) -> DataFrame:
-    """Add ``status`` and ``detail``: listing count, HTTP code, or error text.
-
-    Boards publish a ``jobs`` array (greenhouse), a page with embedded data (ashby) or
-    a top-level array (lever).
+    ``detail`` is the listing count, HTTP code, or error text. Bodies go no further than
+    this. Boards publish a ``jobs`` array (greenhouse), a page with embedded data (ashby)
+    or a top-level array (lever).
     """
+    probed = responses.filter(F.col("source_kind").isin(*AUDITED_KINDS)).withColumn("ats", F.col("source_kind"))
     page = F.col("ats") == "ashby"
     read = probed.withColumn("_json", F.when(page, embedded_json("body")).otherwise(F.col("body")))
     failed = ~F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
@@ -40,7 +34,7 @@ def classify(probed: DataFrame) -> DataFrame:
         .when(F.col("ats") == "greenhouse", json_count("_json", "$.jobs"))
         .otherwise(json_count("_json"))
     )
-    message = F.coalesce(F.col("error"), F.when(F.col("status_code").isNull(), F.lit("no response")))
+    message = F.coalesce(F.col("error"), F.when(F.col("status_code").isNull(), F.lit(NO_RESPONSE)))
     judged = read.withColumn(
         "_problem",
         F.when(message.isNotNull(), message).when(~failed & ~no_data & _not_json(F.col("_json")), F.lit(_INVALID)),
@@ -54,10 +48,34 @@ def classify(probed: DataFrame) -> DataFrame:
     )
     detail = (
         F.when(http, F.col("status_code").cast("string"))
-        .when(F.col("_problem").isNotNull(), truncate("_problem", 60))
+        .when(F.col("_problem").isNotNull(), truncate("_problem", DETAIL_CHARS))
         .otherwise(F.col("_count").cast("string"))
     )
-    return judged.select("ord", "name", "ats", "token", status.alias("status"), detail.alias("detail"))
+    return judged.select("ats", "token", "fetched_at", status.alias("status"), detail.alias("detail"))
+
+
+def endpoints(roster: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Every roster entry of an audited kind with the status of its endpoint.
+
+    The newest response of an endpoint counts (of equally new ones the largest status,
+    detail), and is picked before the shuffle as far as it can be. Entries that share an
+    endpoint are all kept; an entry without a response is an error.
+    """
+    newest = (
+        classify(payloads)
+        .groupBy("ats", "token")
+        .agg(F.max(F.struct("fetched_at", "status", "detail")).alias("_r"))
+        .select("ats", "token", "_r.status", "_r.detail")
+    )
+    kinds = roster.filter(F.col("ats").isin(*AUDITED_KINDS))
+    return kinds.join(newest, ["ats", "token"], "left").select(
+        "ord",
+        "name",
+        "ats",
+        "token",
+        F.coalesce("status", F.lit(ERR)).alias("status"),
+        F.when(F.col("status").isNull(), F.lit(NO_RESPONSE)).otherwise(F.col("detail")).alias("detail"),
+    )
 
 
 def tally(classified: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postsieve.store.folders import ensure_checkpoint_dir
 
-ALERT_ORDER = ("score", "seen_at", "job_id")
+ALERT_ORDER = ("score", "seen_at", "job_key")
 
 
 def at_least(df: DataFrame, min_score: int) -> DataFrame:
@@ -18,18 +18,13 @@ def at_least(df: DataFrame, min_score: int) -> DataFrame:
     return df.filter(F.col("score") >= F.lit(min_score))
 
 
-def pending(jobs: DataFrame, deliveries: DataFrame, min_score: int = 1) -> DataFrame:
+def pending(jobs: DataFrame, deliveries: DataFrame, min_score: int = 1, key: str = "job_key") -> DataFrame:
     """Stored listings at or above the score that no delivery has taken, from any run."""
-    return at_least(jobs, min_score).join(deliveries.select("job_id"), "job_id", "left_anti")
-
-
-def alert_order(df: DataFrame) -> DataFrame:
-    """Lowest score first, so that the best alert lands last."""
-    return df.orderBy(*ALERT_ORDER)
+    return at_least(jobs, min_score).join(deliveries.select(key), key, "left_anti")
 
 
 def number_rows(
-    df: DataFrame, levels: Sequence[str] = ("score", "seen_at"), unique: str = "job_id", digits: int = 3
+    df: DataFrame, levels: Sequence[str] = ("score", "seen_at"), unique: str = "job_key", digits: int = 3
 ) -> DataFrame:
     """Add ``seq``, the 1-based position in the order (levels..., unique), without gaps.
 
@@ -39,12 +34,12 @@ def number_rows(
     is thus spread over 16**digits tasks; only counts are ordered level by level.
     The levels must not be null.
 
-    The counts are taken in a job of their own over the order's columns and kept in a
-    checkpoint, which every level reads.
+    ``df`` is evaluated once, into a checkpoint; give it narrow and join wide columns
+    to the result. Counts have a checkpoint of their own, which every level reads.
     """
     cell = [*levels, "_cell"]
-    rows = df.withColumn("_cell", F.left(F.col(unique), F.lit(digits)))
     ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_cell", F.left(F.col(unique), F.lit(digits))).checkpoint()
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     within = W.partitionBy(*cell).orderBy(unique)
     return (

@@ -24,7 +24,7 @@ def audit(roster: DataFrame, payloads: DataFrame) -> Audit:
     ``endpoints`` is narrow (no bodies); store it before using more than one report
     when the responses are many.
     """
-    endpoints = health.classify(health.probes(roster, payloads))
+    endpoints = health.endpoints(roster, payloads)
     return Audit(
         endpoints,
         health.tally(endpoints),

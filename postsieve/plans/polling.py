@@ -8,25 +8,30 @@ columns it needs.
 from __future__ import annotations
 
 from collections.abc import Callable, Collection
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve import defaults
 from postsieve.operators.alerts import alert_payloads, summary_payload
-from postsieve.operators.counts import error_list, error_messages
+from postsieve.functions.keys import ID_DIGITS
+from postsieve.operators.counts import error_list, error_messages, source_counts
 from postsieve.operators.dedup import ARRIVAL, CONTENT, first_wins, new_only, with_key
 from postsieve.operators.queue import number_rows, pending
-from postsieve.operators.scoring import Lexicon, lexicon_frame, score_listings
+from postsieve.operators.scoring import CONSTANT_MAX_ROWS, Lexicon, lexicon_frame, score_listings
+from postsieve.operators.sizes import at_most
 from postsieve.operators.targets import apply_target_floor
-from postsieve.schemas import RUNS
+from postsieve.schemas import QUARANTINE, RUNS
 from postsieve.sources.registry import SourceRegistry, default_registry, normalise
-from postsieve.sources.roster import roster_frame, unsupported
-from postsieve.store.tables import ListingStore
+from postsieve.sources.roster import roster_frame, unsupported, zero_yield
+from postsieve.store.tables import DESCRIPTION_CHARS, ListingStore
 
 MODES = ("live", "dry", "summary")
+START_CHARS = 64
 
 Deliver = Callable[[DataFrame], DataFrame]
 
@@ -42,6 +47,15 @@ class RunConfig:
     registry: SourceRegistry = field(default_factory=default_registry)
     drop_blocked: bool = False
     mark: str = "ok"
+    description_chars: int | None = DESCRIPTION_CHARS
+
+    def resolved(self) -> RunConfig:
+        """With the lexicon and blocklist looked at once, for many batches."""
+        blocklist = self.blocklist
+        if isinstance(blocklist, DataFrame):
+            rows = at_most(blocklist.select("pattern"), CONSTANT_MAX_ROWS)
+            blocklist = blocklist if rows is None else [r.pattern for r in rows if r.pattern is not None]
+        return replace(self, lexicon=Lexicon.of(self.lexicon), blocklist=blocklist)
 
     @classmethod
     def template(cls, spark: SparkSession, **replaced) -> RunConfig:
@@ -67,17 +81,37 @@ def new_listings(
 ) -> DataFrame:
     """First sightings of a batch that the store lacks, scored and floored.
 
-    Scoring comes last: a copy's score would be thrown away, and a stored one never
-    changes. The key's partitioning serves all steps.
+    Known keys go first, and the copies that are left compete without their descriptions:
+    the start and a digest of it break the last ties. Descriptions of the winners come
+    after that, and scoring last, as a copy's score would be thrown away.
     """
-    keyed = with_key(listings)
-    firsts = first_wins(keyed, order=(*ARRIVAL, *CONTENT))
-    fresh = new_only(firsts, stored, batch_rows, keys=keyed)
-    scored = score_listings(fresh, config.lexicon, config.blocklist, key="job_id")
+    short = [c for c in CONTENT if c != "description"]
+    keyed = with_key(listings).withColumns(
+        {"_start": F.left("description", F.lit(START_CHARS)), "_tie": F.sha2(F.coalesce("description", F.lit("")), 256)}
+    )
+    order = [*ARRIVAL, *short, "_start", "_tie"]
+    place = ["job_key", *order]
+    fresh = new_only(keyed.select(*place), stored, batch_rows, keys=keyed)
+    winners = first_wins(fresh, order=order)
+    winners = winners.select(*[F.col(c).alias(f"_won_{c}") for c in place])
+    same = [F.col(c).eqNullSafe(F.col(f"_won_{c}")) for c in place]
+    wide = keyed.join(winners, reduce(and_, same), "left_semi").drop("_start", "_tie").dropDuplicates(["job_key"])
+    scored = score_listings(wide, config.lexicon, config.blocklist, key="job_key")
     floored = apply_target_floor(scored, config.roster.select("name"))
     return floored.filter(~F.col("blocked")) if config.drop_blocked else floored
 
 
+def _write_outbox(store: ListingStore, run_id: str, run_ts: datetime, config: RunConfig, mode: str) -> DataFrame:
+    """The pending queue in order: keys are numbered, wide columns join at the end."""
+    jobs = store.read("jobs")
+    narrow = jobs.select("job_key", "score", "seen_at")
+    order = number_rows(pending(narrow, store.read("deliveries"), config.min_score)).select("job_key", "seq")
+    rows = alert_payloads(jobs.join(order, "job_key"), F.lit(run_ts)).withColumn("mode", F.lit(mode))
+    store.replace("outbox", run_id, rows.sortWithinPartitions("seq"))
+    store.replace("steps", run_id, store.spark.range(1).select(F.lit(mode).alias("mode")))
+    return store.part("outbox", run_id)
+
+
 def drain_queue(
     store: ListingStore,
     run_id: str,
@@ -88,19 +122,28 @@ def drain_queue(
 ) -> int:
     """Write the pending queue to the outbox in order and record deliveries.
 
-    ``deliver`` takes the outbox rows of this run and returns (job_id, ok); without it
-    an alert counts as delivered once it is in the outbox. A dry run writes the outbox
-    but delivers nothing. Returns the number of alerts.
+    ``deliver`` takes outbox rows and returns (job_id or job_key, ok); (run_id, job_key)
+    can serve it as idempotency key. Without it an alert counts as delivered once it is
+    in the outbox. A dry run marks its outbox rows ``dry`` and delivers nothing. A run
+    that is started again keeps its outbox, and sends what no ledger entry has taken.
+    Returns the number of alerts that the run has delivered so far.
     """
     if mode == "summary":
         return 0
-    taken = store.read("deliveries").filter(F.col("run_id") != F.lit(run_id))
-    queue = number_rows(pending(store.read("jobs"), taken, config.min_score))
-    rows = alert_payloads(queue, F.lit(run_ts)).sortWithinPartitions("seq")
-    outbox = store.replace("outbox", run_id, rows)
+    step = store.part("steps", run_id).first()
+    written = step is not None and step["mode"] == mode
+    outbox = store.part("outbox", run_id) if written else _write_outbox(store, run_id, run_ts, config, mode)
     if mode == "dry":
         return outbox.count()
-    results = deliver(outbox) if deliver else outbox.select("job_id", F.lit(True).alias("ok"))
+    open_ = outbox.join(store.read("deliveries").select("job_key"), "job_key", "left_anti") if written else outbox
+    if deliver:
+        results = deliver(open_)
+        if "job_key" not in results.columns:
+            results = results.join(open_.select("job_key", "job_id"), "job_id")
+        elif "job_id" not in results.columns:
+            results = results.withColumn("job_id", F.left("job_key", F.lit(ID_DIGITS)))
+    else:
+        results = open_.select("job_key", "job_id", F.lit(True).alias("ok"))
     delivered = store.mark_delivered(results, run_id, run_ts, config.mark)
     return delivered.filter("ok").count()
 
@@ -118,13 +161,15 @@ def run_batch(
 ) -> RunResult:
     """Process one batch of landed payloads; replaying a ``batch_id`` changes nothing.
 
-    Listings and the run record are stored in every mode. ``errors`` are messages of
-    the caller's own fetching stage; they come first in the run record.
+    A replay keeps the clock of the first attempt. Listings and the run record are
+    stored in every mode, with the listings per source and the endpoints that yielded
+    none. ``errors`` are messages of the caller's own fetching stage; they come first in
+    the run record.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     spark = store.spark
-    run_ts = run_ts or datetime.now(timezone.utc)
+    run_ts = store.clock(batch_id, _aware(run_ts or datetime.now(timezone.utc)))
 
     staged = store.replace(
         "staged",
@@ -132,22 +177,25 @@ def run_batch(
         normalise(payloads, config.roster, config.registry, boards_only=boards_only),
     )
     listings = staged.filter("reason is null")
-    jobs_found = listings.count()
-
-    bad = staged.filter("reason is not null").select("source_kind", "token", "reason", "detail", "raw")
+    counts = store.replace("source_counts", batch_id, source_counts(listings))
+    total = counts.filter("level = 0").select("listings").first()
+    jobs_found = total["listings"] if total else 0
     kinds = config.registry.board_kinds()
+    store.replace("zero_yield", batch_id, zero_yield(config.roster.filter(F.col("ats").isin(*kinds)), listings))
+
+    bad = staged.filter("reason is not null").select(*QUARANTINE.fieldNames())
     quarantine = store.replace("quarantine", batch_id, bad.unionByName(unsupported(config.roster, kinds)))
 
     fresh = new_listings(listings, store.jobs_before(batch_id), config, jobs_found)
-    jobs_new = store.append_jobs(fresh, batch_id, run_ts).count()
+    jobs_new = store.append_jobs(fresh, batch_id, run_ts, config.description_chars).count()
 
     jobs_alerted = drain_queue(store, batch_id, run_ts, config, mode, deliver)
 
     found_errors = [*errors, *error_list(error_messages(quarantine)).first()["errors"]]
     finished = datetime.now(timezone.utc)
-    row = (run_ts, max(finished, _aware(run_ts)), jobs_found, jobs_new, jobs_alerted, found_errors)
+    row = (run_ts, max(finished, run_ts), jobs_found, jobs_new, jobs_alerted, found_errors)
     run = store.append_run(spark.createDataFrame([row], RUNS), batch_id)
-    store.replace("summaries", batch_id, summary_payload(run, F.col("finished_at")))
+    store.replace("summaries", batch_id, summary_payload(run, F.col("finished_at")).withColumn("mode", F.lit(mode)))
     return RunResult(batch_id, jobs_found, jobs_new, jobs_alerted, found_errors)
 
 

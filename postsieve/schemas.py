@@ -42,26 +42,33 @@ LISTING = _struct(
 # A listing, or (reason not null) something that could not become one.
 STAGED = T.StructType(
     LISTING.fields
-    + _struct("source_kind string, token string, reason string, detail string, raw string").fields
+    + _struct("source_kind string, token string, endpoint string, reason string, detail string, raw string").fields
 )
 
-QUARANTINE = _struct("source_kind string, token string, reason string, detail string, raw string")
+# Where something came from, and what could not be read of it.
+QUARANTINE = _struct(
+    "source_kind string, token string, endpoint string, endpoint_ord int, reason string, detail string, raw string"
+)
 
 ROSTER = _struct("ord int, name string, ats string, token string")
 LEXICON = _struct("ord int, phrase string, weight int")
 
 JOBS = _struct(
-    "job_id string, title string, company string, location string, url string, source string,"
+    "job_key string, job_id string, title string, company string, location string, url string, source string,"
     " score int, keywords strings, description string, blocked boolean, is_target boolean,"
     " seen_at timestamp"
 )
-DELIVERIES = _struct("job_id string, delivered_at timestamp, ok boolean")
+DELIVERIES = _struct("job_key string, job_id string, delivered_at timestamp, ok boolean")
 RUNS = _struct(
     "started_at timestamp, finished_at timestamp, jobs_found bigint, jobs_new bigint,"
     " jobs_alerted bigint, errors strings"
 )
-OUTBOX = _struct("seq bigint, job_id string, score int, payload string")
-SUMMARIES = _struct("payload string")
+OUTBOX = _struct("seq bigint, job_key string, job_id string, score int, mode string, payload string")
+SUMMARIES = _struct("mode string, payload string")
+CLOCKS = _struct("started_at timestamp")
+STEPS = _struct("mode string")  # written once the outbox of a run is complete
+SOURCE_COUNTS = _struct("level int, source_kind string, endpoint_ord int, listings bigint")
+ZERO_YIELD = _struct("ord int, name string, ats string, token string, label string")
 
 
 def partitioned(schema: T.StructType, column: str) -> T.StructType:

@@ -17,7 +17,9 @@ NOT_FOUND = "not_found"
 HTTP_ERROR = "http_error"
 UNPARSEABLE = "unparseable_body"
 BAD_RECORD = "bad_record"
+BAD_ITEM = "bad_item"
 UNSUPPORTED = "unsupported_kind"
+RAW_CHARS = 4000  # of a body that cannot be read; the endpoint leads to the rest
 
 _LISTING_FIELDS = ("title", "company", "location", "url", "source", "description")
 
@@ -53,15 +55,18 @@ def records(payloads: DataFrame, elements: Column, malformed: Column, reason: Co
         "source_kind",
         "company",
         "token",
+        "endpoint",
         "src_rank",
         "endpoint_ord",
+        F.when(F.col("_body.malformed"), F.left("body", F.lit(RAW_CHARS))).alias("_unread"),
         F.when(F.col("reason").isNotNull(), detail).alias("detail"),
         F.when(F.col("_body.malformed"), F.lit(UNPARSEABLE)).otherwise(F.col("reason")).alias("reason"),
         F.when(F.col("_body.malformed"), F.lit(None)).otherwise(F.col("_body.elements")).alias("_elements"),
     )
     return (
         judged.select("*", F.posexplode_outer("_elements").alias("src_pos", "_raw"))
-        .drop("_elements")
+        .withColumn("_raw", F.coalesce("_raw", "_unread"))
+        .drop("_elements", "_unread")
         .filter(F.col("reason").isNotNull() | F.col("src_pos").isNotNull())
     )
 
@@ -83,6 +88,7 @@ def staged(rows: DataFrame, **fields: Column) -> DataFrame:
         F.col("src_pos").cast("bigint").alias("src_pos"),
         "source_kind",
         "token",
+        "endpoint",
         "reason",
         "detail",
         F.when(~good, F.col("_raw")).alias("raw"),

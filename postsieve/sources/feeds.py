@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsieve.functions.text import or_default, split_title, strip_html, strip_space, truncate
-from postsieve.sources.explode import HTTP_ERROR, UNPARSEABLE, staged
+from postsieve.sources.explode import BAD_ITEM, HTTP_ERROR, RAW_CHARS, UNPARSEABLE, staged
 
 _TEXTS = ("title", "link", "description", "summary", "author", "dc:creator", "location")
 ITEM = T.StructType(
@@ -34,28 +34,38 @@ def items(payloads: DataFrame) -> DataFrame:
     broken = F.col("_channel").isNull()
     single = F.transform(
         F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0)),
-        lambda raw: F.from_xml(raw, ITEM),
+        lambda raw: F.struct(F.from_xml(raw, ITEM).alias("item"), raw.alias("raw")),
     )
+    read = F.transform(F.col("_channel.item"), lambda i: F.struct(i.alias("item"), F.lit(None).cast("string").alias("raw")))
     found = parsed.select(
         "source_kind",
         "token",
+        "endpoint",
         "src_rank",
         "endpoint_ord",
         "status_code",
         "error",
-        F.when(broken, single).otherwise(F.col("_channel.item")).alias("_items"),
+        F.when(broken, F.left("body", F.lit(RAW_CHARS))).alias("_body"),
+        F.when(broken, single).otherwise(read).alias("_items"),
         broken.alias("_broken"),
     )
     empty = F.coalesce(F.size("_items"), F.lit(0)) <= 0
     reason = F.when(empty & F.col("error").isNotNull(), F.lit(HTTP_ERROR)).when(
         empty & F.col("_broken"), F.lit(UNPARSEABLE)
     )
-    return (
+    exploded = (
         found.withColumn("reason", reason)
         .withColumn("detail", F.when(reason.isNotNull(), F.coalesce("error", F.col("status_code").cast("string"))))
-        .select("*", F.posexplode_outer("_items").alias("src_pos", "_r"))
+        .select("*", F.posexplode_outer("_items").alias("src_pos", "_item"))
         .filter(F.col("reason").isNotNull() | F.col("src_pos").isNotNull())
-        .withColumn("_raw", F.lit(None).cast("string"))
+    )
+    # an item of a broken document that cannot be read alone either
+    lost = F.col("src_pos").isNotNull() & F.col("_item.item").isNull() & F.col("_item.raw").isNotNull()
+    return exploded.select(
+        *[c for c in exploded.columns if c not in ("reason", "_item", "_items", "_body")],
+        F.when(lost, F.lit(BAD_ITEM)).otherwise(F.col("reason")).alias("reason"),
+        F.col("_item.item").alias("_r"),
+        F.when(F.col("reason") == UNPARSEABLE, F.col("_body")).otherwise(F.col("_item.raw")).alias("_raw"),
     )
 
 
@@ -109,6 +119,7 @@ def from_files(item_rows: DataFrame, source_kind: str, src_rank: int, endpoint_o
     return item_rows.select(
         F.lit(source_kind).alias("source_kind"),
         F.lit(None).cast("string").alias("token"),
+        F.input_file_name().alias("endpoint"),
         F.lit(src_rank).alias("src_rank"),
         F.lit(endpoint_ord).alias("endpoint_ord"),
         F.lit(None).cast("string").alias("reason"),

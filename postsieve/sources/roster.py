@@ -53,6 +53,8 @@ def unsupported(roster: DataFrame, kinds: Sequence[str]) -> DataFrame:
         .select(
             F.col("ats").alias("source_kind"),
             "token",
+            F.lit(None).cast("string").alias("endpoint"),
+            F.col("ord").alias("endpoint_ord"),
             F.lit(UNSUPPORTED).alias("reason"),
             F.col("name").alias("detail"),
             F.lit(None).cast("string").alias("raw"),

@@ -6,12 +6,16 @@ store as it was. Nothing is ever updated: what was delivered is a ledger of its
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve import schemas
 from postsieve.functions.text import truncate
+from postsieve.store.folders import ensure_checkpoint_dir
 
 DESCRIPTION_CHARS = 2000  # fixed value
 
@@ -24,8 +28,14 @@ TABLES = {
     "runs": (schemas.RUNS, "run_id"),
     "outbox": (schemas.OUTBOX, "run_id"),
     "summaries": (schemas.SUMMARIES, "run_id"),
+    "clocks": (schemas.CLOCKS, "run_id"),
+    "steps": (schemas.STEPS, "run_id"),
+    "source_counts": (schemas.SOURCE_COUNTS, "run_id"),
+    "zero_yield": (schemas.ZERO_YIELD, "run_id"),
 }
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 
 class ListingStore:
     """Tables under one root path on shared storage."""
@@ -37,11 +47,16 @@ class ListingStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def part_path(self, table: str, part: str) -> str:
+        return f"{self.path(table)}/{TABLES[table][1]}={quote(part, safe='')}"
+
     def read(self, table: str) -> DataFrame:
         """The table, or an empty one of the same schema when it does not exist yet."""
-        schema = schemas.partitioned(*TABLES[table])
+        return self._load(self.path(table), schemas.partitioned(*TABLES[table]))
+
+    def _load(self, path: str, schema) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(self.path(table))
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
                 raise
@@ -54,43 +69,53 @@ class ListingStore:
             empty.write.mode("ignore").partitionBy(by).parquet(self.path(table))
 
     def replace(self, table: str, part: str, rows: DataFrame) -> DataFrame:
-        """Write one partition of a table, replacing it if it exists; return it as stored."""
-        schema, by = TABLES[table]
+        """Write one partition of a table, replacing it if it exists; return it as stored.
+
+        The partition's own path is overwritten, so that no rows leave it empty.
+        """
+        schema, _ = TABLES[table]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        (
-            shaped.withColumn(by, F.lit(part))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(by)
-            .parquet(self.path(table))
-        )
+        shaped.write.mode("overwrite").parquet(self.part_path(table, part))
         return self.part(table, part)
 
     def part(self, table: str, part: str) -> DataFrame:
-        schema, by = TABLES[table]
-        return self.read(table).filter(F.col(by) == F.lit(part)).select(*schema.fieldNames())
+        """One partition, read by its path: other partitions are not even listed."""
+        return self._load(self.part_path(table, part), TABLES[table][0])
+
+    def clock(self, run_id: str, now: datetime) -> datetime:
+        """The time at which the run first began: ``now``, unless it began before."""
+        known = self.part("clocks", run_id).select(F.unix_micros("started_at").alias("t")).first()
+        if known is None:
+            self.replace("clocks", run_id, self.spark.range(1).select(F.lit(now).alias("started_at")))
+            return now
+        return _EPOCH + timedelta(microseconds=known["t"])
 
     def jobs_before(self, batch_id: str) -> DataFrame:
         """Stored listings of all other batches."""
         return self.read("jobs").filter(F.col("batch_id") != F.lit(batch_id))
 
-    def append_jobs(self, scored: DataFrame, batch_id: str, seen_at) -> DataFrame:
-        """Store new listings; the description is cut only here, after scoring."""
-        cut = scored.withColumns(
-            {"description": truncate("description", DESCRIPTION_CHARS), "seen_at": F.lit(seen_at)}
-        )
-        return self.replace("jobs", batch_id, cut)
+    def append_jobs(self, scored: DataFrame, batch_id: str, seen_at, description_chars: int | None = DESCRIPTION_CHARS) -> DataFrame:
+        """Store new listings; the description is cut only here, after scoring, and not at
+        all where ``description_chars`` is None."""
+        kept = scored.withColumn("seen_at", F.lit(seen_at))
+        if description_chars is not None:
+            kept = kept.withColumn("description", truncate("description", description_chars))
+        return self.replace("jobs", batch_id, kept)
 
     def mark_delivered(self, results: DataFrame, run_id: str, at, mark: str = "ok") -> DataFrame:
-        """Append delivery results (job_id, ok) to the ledger.
+        """Add delivery results (job_key, job_id, ok) to the run's ledger.
 
         With mark='ok' only successes leave the queue; 'attempted' takes every listing
-        that was tried out of it.
+        that was tried out of it. Entries of an earlier attempt of the run stay.
         """
         if mark not in ("ok", "attempted"):
             raise ValueError(f"mark must be 'ok' or 'attempted', not {mark!r}")
         taken = results.filter("ok") if mark == "ok" else results
-        return self.replace("deliveries", run_id, taken.withColumn("delivered_at", F.lit(at)))
+        ensure_checkpoint_dir(self.spark)
+        before = self.part("deliveries", run_id).checkpoint()  # its files are about to be replaced
+        columns = ["job_key", "job_id", "delivered_at", "ok"]
+        added = taken.withColumn("delivered_at", F.lit(at)).select(*columns)
+        return self.replace("deliveries", run_id, before.select(*columns).unionByName(added))
 
     def append_run(self, run: DataFrame, run_id: str) -> DataFrame:
         """Append the audit record of a run."""

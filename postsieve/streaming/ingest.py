@@ -1,8 +1,8 @@
 """Streams over a landing folder of payload files.
 
 A listing is new once, for ever. That is a question to the store, not to stream state,
-so each micro-batch runs the batch job under an id derived from its epoch; an epoch
-that is run again after a failure rewrites its own partitions.
+so each micro-batch runs the batch job under an id made of the query's id and its epoch; an
+epoch that is run again after a failure rewrites its own partitions, at its first clock.
 """
 
 from __future__ import annotations
@@ -60,17 +60,17 @@ def poll(
     shared folder, where ``name`` must stay the same from start to start.
     """
     location = checkpoint or f"{shared_folder(store.spark)}/{name}"
+    config = config.resolved()
 
     def each(batch: DataFrame, epoch: int) -> None:
-        run_batch(
-            store,
-            batch,
-            config,
-            batch_id=f"{name}-{epoch:012d}",
-            mode=mode,
-            boards_only=boards_only,
-            deliver=deliver,
-        )
+        # the id that the checkpoint holds: another checkpoint never meets these batches
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch_id = f"{name}-{query}-{epoch:012d}"
+        # one pass over the micro-batch; each source then reads its own partition
+        arrived = f"{store.root}/arrived/{batch_id}"
+        batch.write.mode("overwrite").partitionBy("source_kind").parquet(arrived)
+        payloads = store.spark.read.schema(RAW_PAYLOAD).parquet(arrived)
+        run_batch(store, payloads, config, batch_id, mode=mode, boards_only=boards_only, deliver=deliver)
 
     writer = payloads.writeStream.queryName(name).option("checkpointLocation", location).foreachBatch(each)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import listing, listing_frame, payload, payload_frame, rss
 from postsieve.operators.alerts import alert_payloads, summary_payload
 from postsieve.operators.dedup import first_wins, new_only, with_key
-from postsieve.operators.queue import alert_order, at_least, number_rows, pending
+from postsieve.operators.queue import at_least, number_rows, pending
 from postsieve.operators.scoring import lexicon_frame
 from postsieve.plans import RunConfig, new_listings, run_batch
 from postsieve.schemas import RUNS
@@ -32,29 +32,29 @@ def test_first_wins_does_not_depend_on_partitioning(spark):
 
 
 def test_first_wins_limits_before_the_shuffle(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("job_id"), F.col("id").alias("src_pos"))
+    df = spark.range(1000).select((F.col("id") % 3).alias("job_key"), F.col("id").alias("src_pos"))
     plan = first_wins(df, order=("src_pos",))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 
 @pytest.mark.parametrize("rows", [None, 10])
 def test_new_only(spark, rows):
-    batch = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "job_id string, x int")
-    store = spark.createDataFrame([("b",), ("z",)], "job_id string")
-    assert {r.job_id for r in new_only(batch, store, rows).collect()} == {"a", "c"}
+    batch = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "job_key string, x int")
+    store = spark.createDataFrame([("b",), ("z",)], "job_key string")
+    assert {r.job_key for r in new_only(batch, store, rows).collect()} == {"a", "c"}
 
 
 def test_an_endpoint_landed_twice_gives_one_fixed_winner(spark, config):
     rows = [listing("A", "Acme", "u", description=d, location=loc) for d in ("x", "y") for loc in ("p", "o")]
     for n in (1, 2, 4):
-        stored = spark.createDataFrame([], "job_id string")
+        stored = spark.createDataFrame([], "job_key string")
         out = new_listings(listing_frame(spark, *rows).repartition(n), stored, config, 4).collect()
         assert [(r.location, r.description) for r in out] == [("o", "x")]
 
 
 def queue_rows(spark, n):
     df = spark.range(n).select(
-        F.left(F.sha1(F.col("id").cast("string")), F.lit(16)).alias("job_id"),
+        F.left(F.sha1(F.col("id").cast("string")), F.lit(16)).alias("job_key"),
         F.when(F.col("id") % 3 == 0, 5).otherwise((F.col("id") % 7).cast("int")).cast("int").alias("score"),
         F.timestamp_seconds(F.col("id") % 2).alias("seen_at"),
     )
@@ -64,10 +64,9 @@ def queue_rows(spark, n):
 @pytest.mark.parametrize("digits", [1, 3])
 def test_number_rows_is_the_position_in_the_global_order(spark, digits):
     df = queue_rows(spark, 2000)
-    got = {r.job_id: r.seq for r in number_rows(df, digits=digits).collect()}
-    ordered = sorted(df.collect(), key=lambda r: (r.score, r.seen_at, r.job_id))
-    assert got == {r.job_id: i for i, r in enumerate(ordered, 1)}
-    assert [r.job_id for r in alert_order(df).collect()] == [r.job_id for r in ordered]
+    got = {r.job_key: r.seq for r in number_rows(df, digits=digits).collect()}
+    ordered = sorted(df.collect(), key=lambda r: (r.score, r.seen_at, r.job_key))
+    assert got == {r.job_key: i for i, r in enumerate(ordered, 1)}
     assert number_rows(df.limit(0)).count() == 0
 
 
@@ -77,9 +76,9 @@ def test_number_rows_has_no_task_over_all_rows(spark):
 
 
 def test_pending(spark):
-    jobs = spark.createDataFrame([("a", 5), ("b", 9), ("c", 4), ("d", 5)], "job_id string, score int")
-    ledger = spark.createDataFrame([("b",), ("b",)], "job_id string")
-    assert {r.job_id for r in pending(jobs, ledger, 5).collect()} == {"a", "d"}
+    jobs = spark.createDataFrame([("a", 5), ("b", 9), ("c", 4), ("d", 5)], "job_key string, score int")
+    ledger = spark.createDataFrame([("b",), ("b",)], "job_key string")
+    assert {r.job_key for r in pending(jobs, ledger, 5).collect()} == {"a", "d"}
     assert at_least(jobs, 9).count() == 1
 
 
@@ -208,3 +207,84 @@ def test_bootstrap_is_repeatable(spark, tmp_path):
     store.bootstrap()
     store.bootstrap()
     assert store.read("jobs").count() == 0
+
+
+def counts(store):
+    return {t: store.read(t).count() for t in ("staged", "jobs", "quarantine", "deliveries", "runs", "outbox", "summaries")}
+
+
+def test_replay_after_a_later_run_changes_nothing(spark, tmp_path, config):
+    store = ListingStore(spark, str(tmp_path))
+    sent = []
+
+    def deliver(rows):
+        sent.append(sorted(r.title_key for r in rows.select(F.col("job_key").alias("title_key")).collect()))
+        return rows.select("job_id", F.lit(True).alias("ok"))
+
+    one = run_batch(store, first_batch(spark), config, "b1", T1, deliver=deliver)
+    later = payload_frame(spark, payload("lever", board(("N", "juce")), "acme"))
+    run_batch(store, later, config, "b2", T2, mode="summary")
+    before, outbox = counts(store), table(store, "outbox", "run_id", "seq", "job_key", "payload")
+    again = run_batch(store, first_batch(spark), config, "b1", T2, deliver=deliver)
+    assert again == one and counts(store) == before
+    assert table(store, "outbox", "run_id", "seq", "job_key", "payload") == outbox
+    assert len(sent[0]) == 2 and sent[1] == []
+    seen = {r.seen_at for r in store.read("jobs").filter("batch_id = 'b1'").collect()}
+    assert len(seen) == 1 and store.clock("b1", T2) == T1.replace(tzinfo=T1.tzinfo or timezone.utc)
+
+
+def test_failed_deliveries_are_tried_again_by_the_same_run(spark, tmp_path, config):
+    store = ListingStore(spark, str(tmp_path))
+    fail = lambda o: o.select("job_key", F.lit(False).alias("ok"))
+    for _ in range(2):
+        assert run_batch(store, first_batch(spark), config, "b1", T1, deliver=fail).jobs_alerted == 0
+    half = lambda o: o.select("job_id", (F.col("score") > 5).alias("ok"))
+    assert run_batch(store, first_batch(spark), config, "b1", T1, deliver=half).jobs_alerted == 1
+    assert run_batch(store, first_batch(spark), config, "b1", T1).jobs_alerted == 2
+    assert store.read("deliveries").count() == 2
+
+
+def test_an_empty_rerun_clears_its_partitions(spark, tmp_path, config):
+    store = ListingStore(spark, str(tmp_path))
+    run_batch(store, first_batch(spark), config, "b1", T1, mode="summary")
+    empty = payload_frame(spark, payload("lever", [], "acme"))
+    result = run_batch(store, empty, config, "b1", T1, mode="summary")
+    assert (result.jobs_found, result.jobs_new) == (0, 0)
+    assert store.read("jobs").count() == store.read("staged").count() == 0
+    assert {(r.ats, r.token) for r in store.read("zero_yield").collect()} == {("lever", "acme"), ("ashby", "gone")}
+
+
+def test_dry_rows_are_marked(spark, tmp_path, config):
+    store = ListingStore(spark, str(tmp_path))
+    run_batch(store, first_batch(spark), config, "b1", T1, mode="dry")
+    assert {r.mode for r in store.read("outbox").collect()} == {r.mode for r in store.read("summaries").collect()} == {"dry"}
+    assert run_batch(store, first_batch(spark), config, "b1", T1).jobs_alerted == 2
+    assert {r.mode for r in store.read("outbox").collect()} == {"live"}
+
+
+def test_listings_that_share_a_printed_id_stay_apart(spark, tmp_path, config, monkeypatch):
+    from postsieve.operators import dedup
+
+    monkeypatch.setattr(dedup, "ID_DIGITS", 0)  # every listing gets the same printed id
+    store = ListingStore(spark, str(tmp_path))
+    result = run_batch(store, first_batch(spark), config, "b1", T1)
+    assert (result.jobs_new, result.jobs_alerted) == (4, 2)
+    assert {r.job_id for r in store.read("jobs").collect()} == {""}
+    assert run_batch(store, first_batch(spark), config, "b2", T2).jobs_new == 0
+
+
+def test_descriptions_do_not_move_before_known_keys_are_out(spark, config):
+    rows = listing_frame(spark, *[listing(f"t{i}", url=str(i), description="x" * 50) for i in range(20)])
+    stored = spark.createDataFrame([("k",)], "job_key string")
+    keyed = new_listings(rows, stored, config, None)
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    anti = plan[plan.index("LeftAnti") :]
+    assert "Exchange" in anti and not any("description" in line for line in anti.splitlines() if "Exchange" in line)
+
+
+def test_quarantine_can_be_traced(spark, tmp_path, config):
+    store = ListingStore(spark, str(tmp_path))
+    odd = payload_frame(spark, payload("wwr", "garbage", endpoint_ord=3), payload("lever", '[{"text": ', "acme")).withColumn("endpoint", F.concat(F.lit("https://x/"), "source_kind"))
+    run_batch(store, odd, config, "b1", T1)
+    got = {(r.source_kind, r.endpoint, r.endpoint_ord, r.reason, r.raw) for r in store.read("quarantine").filter("reason = 'unparseable_body'").collect()}
+    assert got == {("wwr", "https://x/wwr", 3, "unparseable_body", "garbage"), ("lever", "https://x/lever", 0, "unparseable_body", '[{"text": ')}
