@@ -217,8 +217,7 @@ ORACLES = {
     "zero_yield": """
         SELECT CAST(c_custkey AS INTEGER) AS ord,
                c_name || ' (' || c_mktsegment || '/' || CAST(c_custkey AS VARCHAR) || ')' AS label
-        FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
-          WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2000-01-01')""",
+        FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "health_audit": f"WITH {_PROBES} SELECT ord, name, ats, token, status, detail FROM classified",
     "health_tally": f"""WITH {_PROBES}
         SELECT CASE status WHEN 'OK' THEN 'ok' WHEN 'EMPTY' THEN 'empty' ELSE 'broken' END AS bucket,
@@ -239,10 +238,53 @@ ORACLES = {
         FROM jobs""",
     "stored_listings": f"""WITH {_RUN}
         SELECT job_id, title, company, location, url, source, score, blocked, is_target, keywords,
-               CAST(least(length(trim(description)), 2000) AS INTEGER) AS kept FROM floored""",
+               CAST(least(length(trim(description)), 2000) AS INTEGER) AS kept,
+               md5(left(trim(description), 2000)) AS description_md5 FROM floored""",
     "outbox_rows": f"""WITH {_RUN}
-        SELECT CAST(row_number() OVER (ORDER BY score, job_id) AS BIGINT) AS seq, job_id, score, title
+        SELECT CAST(row_number() OVER (ORDER BY score, job_id) AS BIGINT) AS seq, job_id, score, 'dry' AS mode, title
         FROM floored WHERE score >= 5""",
+    "blocklist_long": f"""WITH {_LISTINGS},
+        patterns AS (SELECT DISTINCT p FROM (SELECT unnest(regexp_split_to_array(lower(text), '{_NW}+')) AS p FROM benchmark)
+          WHERE length(p) >= 7),
+        hit AS (SELECT DISTINCT doc_id FROM listings JOIN patterns ON contains(lower(title), p))
+        SELECT doc_id, doc_id IN (SELECT doc_id FROM hit) AS blocked FROM listings""",
+    "store_replay": f"""WITH {_COLLECTED},
+        keyed AS (SELECT *, {_KEY} AS job_id FROM collected WHERE kind = 'remoteok'),
+        firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rnk, endpoint_ord, place) = 1),
+        {_scored('firsts', 'job_id')},
+        {_floored("SELECT 'company ' || lower(source) FROM documents")}
+        SELECT 'b1' AS run_id, CAST(row_number() OVER (ORDER BY score, job_id) AS BIGINT) AS seq, job_id, score,
+               true AS ok, 'b1' AS delivered_by
+        FROM floored WHERE score >= 5""",
+    "run_zero_yield": f"""WITH {_PAGES},
+        pages AS (SELECT DISTINCT source, token, page_ord FROM paged)
+        SELECT CAST(page_ord * 4 + k AS INTEGER) AS ord, 'Company ' || source || ' (' || ats || '/' || token || ')' AS label
+        FROM pages, (VALUES (1, 'lever'), (2, 'ashby')) AS kinds(k, ats)""",
+    "run_source_counts": f"""WITH {_COLLECTED}
+        SELECT CAST(2 - grouping(kind) - grouping(endpoint_ord) AS INTEGER) AS level, kind AS source_kind,
+               CAST(endpoint_ord AS VARCHAR) AS endpoint_ord, count(*) AS listings
+        FROM collected GROUP BY ROLLUP (kind, endpoint_ord)""",
+    "quarantine_rows": f"""WITH {_CUSTOMERS},
+        bodies AS (SELECT *, 'https://example.org/' || token AS link FROM routed WHERE reason IS NOT NULL)
+        SELECT ats AS source_kind, token, ord AS endpoint_ord, reason, detail,
+          CASE WHEN reason = 'unparseable_body' THEN CASE ats
+            WHEN 'greenhouse' THEN '{{"jobs":[{{"title":"' || segment || '","absolute_url":"' || left(link || '"}}]}}', length(link) + 1)
+            WHEN 'lever' THEN '[{{"text":"' || segment || '","hostedUrl":"' || link
+            ELSE '{{"data":{{"jobBoard":{{"jobPostings":[{{"id":"1","title":"' || segment || '"}}]' END END AS raw
+        FROM bodies""",
+    "stream_scored_long_lexicon": f"""WITH
+        vocabulary AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '{_NW}+')) AS phrase FROM benchmark),
+        lexicon AS (SELECT phrase, least(length(phrase), 10) AS weight FROM vocabulary WHERE phrase <> ''),
+        {_COLLECTED},
+        numbered AS (SELECT *, {_KEY} AS job_id, row_number() OVER () AS row_id FROM collected WHERE kind = 'remoteok'),
+        words AS (SELECT DISTINCT row_id, unnest(regexp_split_to_array(
+            lower(title || ' ' || description || ' ' || company), '{_NW}+')) AS phrase FROM numbered),
+        sums AS (SELECT row_id, CAST(sum(weight) AS INTEGER) AS total FROM words JOIN lexicon USING (phrase) GROUP BY 1),
+        judged AS (SELECT *, lower(company) IN (SELECT 'company ' || lower(source) FROM documents) AS target
+          FROM numbered LEFT JOIN sums USING (row_id))
+        SELECT job_id, source, CAST(endpoint_ord AS INTEGER) AS endpoint_ord, place AS src_pos,
+               CASE WHEN target AND coalesce(total, 0) = 0 THEN 1 ELSE coalesce(total, 0) END AS score
+        FROM judged""",
     "run_summary": f"""WITH {_RUN}
         SELECT '2026-01-01T00:00:00+00:00' AS started,
                CAST((SELECT count(*) FROM collected) AS VARCHAR) AS found,

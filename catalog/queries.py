@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -181,9 +182,9 @@ def zero_yield_report(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_mktsegment").alias("ats"),
         F.col("c_custkey").cast("string").alias("token"),
     )
-    urgent = v.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= '2000-01-01'")
+    orders = v.table(spark, sf, "orders")
     segment = v.table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("source_kind"))
-    found = urgent.join(segment, F.col("o_custkey") == F.col("c_custkey")).select(
+    found = orders.join(segment, F.col("o_custkey") == F.col("c_custkey")).select(
         "source_kind", F.col("o_custkey").cast("string").alias("token")
     )
     return zero_yield(roster, found).select("ord", "label")
@@ -253,15 +254,74 @@ def stored_listings(spark: SparkSession, sf: str) -> DataFrame:
     return _after_run(spark, sf).read("jobs").select(
         "job_id", "title", "company", "location", "url", "source", "score", "blocked", "is_target",
         fn.render_list("keywords").alias("keywords"), F.length("description").alias("kept"),
+        F.md5("description").alias("description_md5"),
     )
 
 
 def outbox_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _after_run(spark, sf, "dry").read("outbox").select(
-        "seq", "job_id", "score", F.get_json_object("payload", "$.embeds[0].title").alias("title")
+        "seq", "job_id", "score", "mode", F.get_json_object("payload", "$.embeds[0].title").alias("title")
     )
 
 
+def blocklist_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles against the long words of the benchmark items, several hundred patterns."""
+    patterns = v.word_lexicon(spark, sf).filter("ord >= 7").select(F.col("phrase").alias("pattern"))
+    return blocked_by_title(v.listings(spark, sf), patterns).select("doc_id", "blocked")
+
+
+def store_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs, then the first one again: its outbox and ledger are as they were."""
+    store = _store(spark)
+    config = _config(store, sf)
+    landing = store.path("landing")
+    write_landing(v.all_payloads(spark, sf), landing)
+    payloads = spark.read.parquet(landing)
+    feed = payloads.filter("source_kind = 'remoteok'")
+    for batch, rows, mode in (("b1", feed, "live"), ("b2", payloads, "summary"), ("b1", feed, "live")):
+        run_batch(store, rows, config, batch, RUN_TS, mode)
+    sent = store.read("deliveries").select("job_id", "ok", F.col("run_id").alias("delivered_by"))
+    return store.read("outbox").join(sent, "job_id", "left").select("run_id", "seq", "job_id", "score", "ok", "delivered_by")
+
+
+def run_zero_yield(spark: SparkSession, sf: str) -> DataFrame:
+    """A run whose landing lacks the boards of two kinds: their endpoints are reported."""
+    store = _store(spark)
+    rows = v.board_payloads(spark, sf, "greenhouse").unionByName(v.board_payloads(spark, sf, "remoteok"))
+    run_batch(store, rows, _config(store, sf), "b1", RUN_TS, "summary")
+    return store.read("zero_yield").select("ord", "label")
+
+
+def run_source_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The listings per source that a run records."""
+    counts = _after_run(spark, sf, "summary").read("source_counts")
+    return counts.select("level", "source_kind", F.col("endpoint_ord").cast("string").alias("endpoint_ord"), "listings")
+
+
+def quarantine_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run over good, gone, failing and cut-off responses puts aside."""
+    store = _store(spark)
+    path = store.path("roster")
+    v.customer_roster(spark, sf).write.parquet(path)
+    config = v.run_config(spark, spark.read.parquet(path))
+    run_batch(store, v.customer_payloads(spark, sf), config, "b1", RUN_TS, "summary")
+    return store.read("quarantine").select("source_kind", "token", "endpoint_ord", "reason", "detail", "raw")
+
+
+def stream_scored_long_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream scored against every word of the benchmark items."""
+    store = _store(spark)
+    landing, out = store.path("landing"), store.path("scored")
+    write_landing(v.board_payloads(spark, sf, "remoteok"), landing)
+    path = store.path("lexicon")
+    v.word_lexicon(spark, sf).write.parquet(path)
+    config = replace(_config(store, sf), lexicon=spark.read.parquet(path), blocklist=[])
+    scored = score_stream(read_landing(spark, landing), config)
+    writer = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", store.path("progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("job_id", "source", "endpoint_ord", "src_pos", "score")
+
+
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     store = _after_run(spark, sf)
     field = lambda i: F.get_json_object("payload", f"$.embeds[0].fields[{i}].value")
@@ -339,6 +399,12 @@ QUERIES = {
     "stored_listings": stored_listings,
     "outbox_rows": outbox_rows,
     "run_summary": run_summary,
+    "blocklist_long": blocklist_long,
+    "store_replay": store_replay,
+    "run_zero_yield": run_zero_yield,
+    "run_source_counts": run_source_counts,
+    "quarantine_rows": quarantine_rows,
+    "stream_scored_long_lexicon": stream_scored_long_lexicon,
     "stream_first_seen": stream_first_seen,
     "stream_scored": stream_scored,
 }

@@ -128,12 +128,17 @@ def looked_up_hits(text: Column, entries: Sequence) -> Column:
     columns = F.arrays_zip(*[F.lit([getattr(e, f) for e in ordered]).alias(f) for f in fields])
     words = F.array_distinct(F.concat(F.split(text, _NOT_WORDS), F.array(F.lit(""))))
     present = F.array_intersect(words, F.lit(sorted({e.anchor for e in entries})))
-    found = F.filter(
-        columns,
-        lambda e: F.array_contains(present, e["anchor"])
-        & ((e["needle"] == e["anchor"]) | (F.contains(text, e["needle"]) & F.regexp_like(text, e["pattern"]))),
+    # bound to a variable, so that neither is worked out again for every phrase
+    bound = F.array(F.struct(text.alias("text"), present.alias("present")))
+    tested = F.transform(
+        bound,
+        lambda b: F.filter(
+            columns,
+            lambda e: F.array_contains(b["present"], e["anchor"])
+            & ((e["needle"] == e["anchor"]) | (F.contains(b["text"], e["needle"]) & F.regexp_like(b["text"], e["pattern"]))),
+        ),
     )
-    return F.transform(found, lambda e: F.struct(e["ord"].alias("ord"), e["phrase"].alias("phrase"), e["weight"].alias("weight"))).cast(_HITS)
+    return F.transform(F.get(tested, F.lit(0)), lambda e: F.struct(e["ord"].alias("ord"), e["phrase"].alias("phrase"), e["weight"].alias("weight"))).cast(_HITS)
 
 
 def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon, unique: bool = False) -> DataFrame:
