@@ -133,7 +133,7 @@ def test_held_out_accuracy_and_misspellings(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(bad))
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 3 == 0)))
-    docs = spark.createDataFrame([*rows, (2000, None), (2001, "a bunch of idiotts and morrons"), (None, "x"), (2002, "nice " * 50_000)], "doc_id long, text string")
+    docs = spark.createDataFrame([*rows, (2000, None), (2001, "a bunch of idiotts and morrons"), (None, "x"), (2002, " ".join(good * 200))], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([*labels, (None, 1), (3, None), (9999, 1)], "doc_id long, toxic int"))
     out = {r.doc_id: r for r in toxicity.judge(docs, model).collect()}
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out.values())
