@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,19 @@ WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIPPED: set[str] = set()
 
 
+# Rows per Arrow batch, where the session has Spark's default of 10,000: texts are long.
+BATCH_ROWS = 2_000
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application.
+    """Make this package importable in Python workers, once per application, and keep
+    their batches small.
 
     The driver serves the archive; executors need no shared folder for it.
     """
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -129,6 +139,15 @@ def pieces(lengths: np.ndarray, limit: int) -> Iterator[slice]:
         yield slice(start, len(lengths))
 
 
+def byte_pieces(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[bytes]]]:
+    """The texts of an Arrow string column as UTF-8, null as empty, in pieces of about
+    ``limit`` bytes; only one piece at a time is copied out of the batch."""
+    raw = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False)
+    for part in pieces(sizes, limit):
+        yield part, [b or b"" for b in raw.slice(part.start, part.stop - part.start).to_pylist()]
+
+
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The edges of one partition as a star per local component (child, parent < child)."""
     parent: dict[int, int] = {}

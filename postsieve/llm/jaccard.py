@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import as_bytes, components, cut, mix, pieces
+from postsieve.llm.common import byte_pieces, components, cut, mix
 from postsieve.llm.words import GRAM_STEP, SPACED, grams, split_words
 
 WORDS, PERCENT = 4, 85
-LONG_LIST = 20
-LOCAL_LIST = 3  # occurrences in one piece of the input that make a shingle worth counting
-PIECE_BYTES = 16 << 20
+LONG_LIST = 6
+LOCAL_LIST = 2  # occurrences in one piece of the input that make a shingle worth counting
+PIECE_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 BLOCK = 256
 HEAVY_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
@@ -149,9 +150,9 @@ def record_rows(docs: DataFrame, order: Order, k: int, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), as_bytes(batch.column(1).to_pylist())
-            for part in pieces(np.array([len(t) for t in texts]), 2_000_000):
-                sets = shingle_sets(texts[part], k)
+            ids = batch.column(0)
+            for part, texts in byte_pieces(batch.column(1), STEP_BYTES):
+                sets = shingle_sets(texts, k)
                 heads = [shared.value.head(s, percent).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -177,14 +178,22 @@ def long_lists(docs: DataFrame, k: int, percent: int, long_list: int = LONG_LIST
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, used = [], 0
         for batch in batches:
-            texts = as_bytes(batch.column(0).to_pylist())
-            for part in pieces(np.array([len(t) for t in texts]), PIECE_BYTES):
-                some = list(dict.fromkeys(texts[part]))
-                sets = [s for small in pieces(np.array([len(t) for t in some]), 2_000_000) for s in shingle_sets(some[small], k)]
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                often = counts >= local
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
+            for _, texts in byte_pieces(batch.column(0), STEP_BYTES):
+                held += shingle_sets(list(dict.fromkeys(texts)), k)
+                used += sum(map(len, texts))
+                if used >= PIECE_BYTES:
+                    yield frequent(held)
+                    held, used = [], 0
+        if held:
+            yield frequent(held)
+
+    def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
+        once = {s.tobytes(): s for s in sets}  # equal sets count once
+        tokens, counts = np.unique(np.concatenate(list(once.values())), return_counts=True)
+        often = counts >= local
+        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = cut(counts.filter(F.col("n") >= long_list))
@@ -194,11 +203,12 @@ def long_lists(docs: DataFrame, k: int, percent: int, long_list: int = LONG_LIST
     return Order(found.column("token").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, repeated: bool = True) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that reach the threshold.
 
     The records a of one b come in blocks with b's set as query, so a popular b costs one
-    set per block, and no task holds more than one block.
+    set per block, and no task holds more than one block. ``repeated`` says whether ids
+    may occur in several rows of ``docs``.
     """
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -206,10 +216,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(as_bytes(batch.column(1).to_pylist()), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+            ids = batch.column(0)
+            for part, some in byte_pieces(batch.column(1), STEP_BYTES):
+                sets = shingle_sets(some, k)
+                yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    sets = cut(texts.mapInArrow(sets_of, "id long, shingles binary").distinct())
+    sets = texts.mapInArrow(sets_of, "id long, shingles binary")
+    sets = cut(sets.distinct() if repeated else sets)
     per = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = pairs.join(per, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     members = dealt.join(sets, F.col("a") == F.col("id")).select("b", "block", F.lit(False).alias("query"), "a", "shingles")
@@ -268,7 +281,9 @@ def join_documents(
     rows = cut(record_rows(docs, long_lists(docs, k, percent, long_list), k, percent))
     able = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    first = able.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["digest"])
+    repeated = not able.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    first = able.join(classes, "digest").filter("doc_id = rep")
+    first = cut(first.dropDuplicates(["digest"]) if repeated else first)
     lists = first.select("rep", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
     shared = cut(lists.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("m"))
     live = cut(lists.join(shared, "token"))
@@ -290,7 +305,7 @@ def join_documents(
     # lists that a pivot does not end are not counted here: what is left out comes below
     ends = live.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     tested = able_to_link(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    links = cut(verified(tested, docs, k, percent))
+    links = cut(verified(tested, docs, k, percent, repeated))
     stars = components(links)
 
     known = live.select("token", "rep", "n").join(stars.withColumnsRenamed({"child": "rep"}), "rep", "left")
@@ -301,7 +316,7 @@ def join_documents(
     cross = (F.col("token") == F.col("t")) & (F.col("part") < F.col("p")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     more = able_to_link(left.join(right, cross).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")))
     more = cut(more.join(tested, ["a", "b"], "left_anti"))
-    links = links.union(verified(more, docs, k, percent))
+    links = links.union(verified(more, docs, k, percent, repeated))
     stars = components(links)
 
     placed = rows.join(classes, "digest", "left").join(stars.withColumnRenamed("child", "rep"), "rep", "left")

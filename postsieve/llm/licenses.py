@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import as_bytes, mix, pieces
+from postsieve.llm.common import byte_pieces, mix
 from postsieve.llm.words import ALNUM, grams, split_words
 
 K = 2
@@ -65,9 +65,8 @@ def gram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_texts = batch.column(0), as_bytes(batch.column(1).to_pylist())
-            for part in pieces(np.array([len(t) for t in all_texts]), 2_000_000):
-                texts = all_texts[part]
+            ids = batch.column(0)
+            for part, texts in byte_pieces(batch.column(1), 1_000_000):
                 words = split_words(texts, ALNUM)
                 counts = np.diff(words.bounds)
                 every = grams(words.hashes, k).view(np.int64)
