@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import RollingBytes, as_bytes, cut, pieces
+from postsieve.llm.common import RollingBytes, as_bytes, byte_pieces, cut
 
 LENGTH = 200
 GRAM = 32
-HOT = 800  # contexts of one gram; beyond it windows are told apart by digests instead
+HOT = 5_000  # contexts of one gram that a task sorts together (a few MB); beyond it windows go by digests
 QUEUE_BYTES = 48 << 20
 BATCH = 8_000
 BROADCAST_IDS = 1_000_000
@@ -225,9 +225,8 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            blobs = as_bytes(batch.column(2).to_pylist())
-            for part in pieces(np.array([len(b) for b in blobs]), 1_000_000):
-                found = anchors(blobs[part], length, gram)
+            for part, blobs in byte_pieces(batch.column(2), 1_000_000):
+                found = anchors(blobs, length, gram)
                 owner = found["text"] + part.start
                 arrays = [doc[owner], mark[owner], found["gram"], found["context"], found["start"].astype(np.int64), found["many"].astype(np.int32), found["off"].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["doc", "mark", "gram", "context", "start", "many", "off"])
