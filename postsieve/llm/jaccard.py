@@ -284,37 +284,42 @@ def join_documents(
     repeated = not able.groupBy("doc_id").count().filter("count > 1").isEmpty()
     first = able.join(classes, "digest").filter("doc_id = rep")
     first = cut(first.dropDuplicates(["digest"]) if repeated else first)
-    lists = first.select("rep", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
-    shared = cut(lists.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("m"))
+    lists = first.select("rep", F.col("n_shingles").alias("n"), F.posexplode("head").alias("at", "token"))
+    ends = [f(F.struct("rep", "n", "at")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    shared = cut(lists.groupBy("token").agg(*ends).filter("low.rep < high.rep"))
     live = cut(lists.join(shared, "token"))
 
-    size = cut(first.groupBy("rep").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")))
-
-    def able_to_link(shared_heads: DataFrame) -> DataFrame:
-        """The pairs (a, b) that can still reach the threshold by their sizes and by how
-        many head shingles they share; what lies behind both heads adds at most the
-        longer rest."""
-        pairs = shared_heads.groupBy("a", "b").agg(F.count("*").alias("common"))
-        for side in ("a", "b"):
-            pairs = pairs.join(size.select(F.col("rep").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")), side)
-        apart = (100 * F.col("most_a") < percent * F.col("least_b")) | (100 * F.col("most_b") < percent * F.col("least_a"))
-        rest = F.ceil(percent * F.greatest("most_a", "most_b") / 100) - 1
-        need = F.ceil(percent * (F.col("least_a") + F.col("least_b")) / (100 + percent))
-        return cut(pairs.filter(~apart & (F.col("common") + rest >= need)).select("a", "b"))
-
-    # lists that a pivot does not end are not counted here: what is left out comes below
-    ends = live.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    tested = able_to_link(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    # a shared shingle at places (at, place): so many can come before it, and after it
+    around = F.least("at", "place") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("m") - F.col("place") - 1)
+
+    def able_to_link(rows: DataFrame) -> DataFrame:
+        """Of rows (rep, n, r, m), one for each shared head shingle, the pairs (a, b) that
+        can still reach the threshold by how many they share; what lies behind both heads
+        adds at most the longer rest."""
+        pairs = rows.groupBy(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).agg(
+            F.count("*").alias("common"),
+            F.min(F.col("n") + F.col("m")).alias("both"),
+            F.max(F.greatest("n", "m")).alias("longest"),
+        )
+        rest = F.ceil(percent * F.col("longest") / 100) - 1
+        enough = F.col("common") + rest >= F.ceil(percent * F.col("both") / (100 + percent))
+        return cut(pairs.filter(enough).select("a", "b"))
+
+    # pairs that meet mostly in lists that neither of them ends are left to the second round
+    star = live.select("rep", "n", "at", F.explode(F.array("low", "high")).alias("end"))
+    star = star.select("rep", "n", "at", F.col("end.rep").alias("r"), F.col("end.n").alias("m"), F.col("end.at").alias("place"))
+    tested = able_to_link(star.filter((F.col("rep") != F.col("r")) & (around >= need)))
     links = cut(verified(tested, docs, k, percent, repeated))
     stars = components(links)
 
-    known = live.select("token", "rep", "n").join(stars.withColumnsRenamed({"child": "rep"}), "rep", "left")
-    known = cut(known.select("token", "rep", "n", F.coalesce("parent", "rep").alias("part")))
+    known = live.select("token", "rep", "n", "at").join(stars.withColumnsRenamed({"child": "rep"}), "rep", "left")
+    known = cut(known.select("token", "rep", "n", "at", F.coalesce("parent", "rep").alias("part")))
     mixed = cut(known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token"))
     left = cut(known.join(mixed, "token"))
-    right = left.select(F.col("token").alias("t"), F.col("rep").alias("r"), F.col("n").alias("m"), F.col("part").alias("p"))
-    cross = (F.col("token") == F.col("t")) & (F.col("part") < F.col("p")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    more = able_to_link(left.join(right, cross).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")))
+    right = left.select(F.col("token").alias("t"), F.col("rep").alias("r"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("p"))
+    cross = (F.col("token") == F.col("t")) & (F.col("part") < F.col("p")) & (around >= need)
+    more = able_to_link(left.join(right, cross).select("rep", "n", "r", "m"))
     more = cut(more.join(tested, ["a", "b"], "left_anti"))
     links = links.union(verified(more, docs, k, percent, repeated))
     stars = components(links)
