@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from helpers import payload, payload_frame
 from postsieve.plans import audit
 from postsieve.sources import roster_frame
@@ -50,3 +52,20 @@ def test_audit(spark):
         ("Silent", "https://jobs.lever.co/l9"),
     ]
     assert [r.token for r in report.unsupported.collect()] == ["w"]
+
+
+def test_the_newest_response_of_an_endpoint_counts(spark):
+    roster = roster_frame(spark, [("Acme", "lever", "acme"), ("Again", "lever", "acme"), ("None", "ashby", "x")])
+    rows = payload_frame(spark, payload("lever", [{"text": "a"}], "acme"), payload("lever", [], "acme"), payload("lever", None, "acme", status=500))
+    hours = F.when(F.col("status_code") == 500, 1).when(F.col("body") == "[]", 3).otherwise(2)
+    landed = rows.withColumn("fetched_at", F.timestamp_seconds(hours * 3600))
+    got = [(r.name, r.status, r.detail) for r in audit(roster, landed).endpoints.orderBy("ord").collect()]
+    assert got == [("Acme", "EMPTY", "0"), ("Again", "EMPTY", "0"), ("None", "ERR", "no response")]
+
+
+def test_bodies_are_in_no_exchange(spark, tmp_path):
+    payload_frame(spark, payload("lever", [], "acme")).write.parquet(str(tmp_path / "landed"))
+    roster = roster_frame(spark, [("Acme", "lever", "acme")])
+    plan = audit(roster, spark.read.parquet(str(tmp_path / "landed"))).endpoints._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "body" not in plan[join : plan.index("Aggregate")] and "Aggregate" in plan[join:]
