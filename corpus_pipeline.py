@@ -16,6 +16,8 @@ from postsieve.llm.common import cut, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # Sources count in the mixture as their rows to this power: below 1, small ones come earlier.
 MIX_POWER = 0.7
+# Near copies share this percentage of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 BROADCAST_IDS = 1_000_000
 
 
@@ -31,8 +33,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that 4-word shingles link, the one with the smallest id stays."""
-    linked = jaccard.join_documents(docs)
+    """Of documents that 5-word shingles link, the one with the smallest id stays."""
+    linked = jaccard.join_documents(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = cut(linked.filter("doc_id <> component_id").select("doc_id").distinct())
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(few, "doc_id", "left_anti").select(*docs.columns)

@@ -37,6 +37,16 @@ def test_stages(spark):
     assert seen[3] != sorted(seen[3])  # laid out as the mixture, not by id
 
 
+def test_near_copies_at_five_words(spark):
+    words = [f"w{i}" for i in range(100)]
+    copy, other = list(words), list(words)
+    copy[30] = copy[60] = "x"  # 86 of 106 five-word shingles, 89 of 105 four-word ones
+    other[30] = other[50] = other[70] = "y"  # 81 of 111
+    rows = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate([words, copy, other], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_run(spark):
     out = cp.run(spark, SF).toPandas()
     texts = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
