@@ -3,15 +3,20 @@
 A source of weight w (weights sum to 1) gets its j-th block (from 0) released at slot
 floor(j / w) and due by slot ceil((j + 1) / w). One block runs per slot, the released one
 with the earliest deadline. Every prefix of the schedule then holds, of each source, less
-than one block more or less than its weight says. With weights as integer shares of a
-period the windows repeat, so one period is scheduled and every block finds its slot by
-arithmetic.
+than one block more or less than its weight says, however long it grows: windows follow
+from the weights themselves, as integers in the proportion of the given floats. The
+driver deals the blocks, one step each, and writes them as a table that the rows join.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +24,11 @@ from pyspark.sql import functions as F
 from postsieve.llm.common import cut
 
 BLOCK_ROWS = 16
-PERIOD = 2048  # slots of a period, and rows of the broadcast schedule
+PERIOD = 2048  # slots of a period, for weights as integer shares
+THIN = 8  # once sources with rows left weigh less than 1 / THIN, the others' slots close
+DEALT = 1 << 20  # blocks that the driver holds at a time
+BROADCAST_BLOCKS = 100_000
+NEW = ["mix_slot", "mix_place", "mix_balanced"]
 BINS = 1024  # parts in which the rows of one source are numbered
 
 
@@ -37,26 +46,73 @@ def shares_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]
     return shares
 
 
-def schedule(shares: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, block) of each slot of one period: earliest deadline first."""
-    period = sum(shares.values())
-    release = lambda s, j: j * period // shares[s]
-    deadline = lambda s, j: -(-(j + 1) * period // shares[s])
-    waiting = [(release(s, 0), s, 0) for s in shares]
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights."""
+    if not weights or any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
+        raise ValueError("weights must be positive")
+    ratios = {s: w.as_integer_ratio() for s, w in weights.items()}
+    scale = math.lcm(*{d for _, d in ratios.values()})
+    parts = {s: n * (scale // d) for s, (n, d) in ratios.items()}
+    common = math.gcd(*parts.values())
+    return {s: n // common for s, n in parts.items()}
+
+
+def deal(parts: dict[str, int], rows: dict[str, int], block_rows: int = 1) -> Iterator[tuple[str, int, int, bool]]:
+    """(source, block, slot, balanced) of every block of ``rows`` (a number for each
+    source) in the order of slots; balanced until a slot finds no full block.
+
+    Slots of a source that has run out stay empty while sources with blocks left weigh
+    1 / THIN or more; later they close, which leaves every other block in its window. So
+    the steps follow the number of blocks, whatever the weights are.
+    """
+    total = sum(parts.values())
+    blocks = {s: -(-rows.get(s, 0) // block_rows) for s in parts}
+    full = {s: rows.get(s, 0) // block_rows for s in parts}
+    weight = sum(n for s, n in parts.items() if blocks[s])
+    active = sum(1 for s in parts if blocks[s])
+    waiting = [(0, s, 0) for s in parts]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    slot, balanced = 0, True
+    while active:
+        closed = not balanced and weight * THIN < total
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, j), s, j))
+            if not closed or j < blocks[s]:
+                heapq.heappush(ready, (-(-(j + 1) * total // parts[s]), s, j))
+        if not ready:
+            slot = max(slot, waiting[0][0])
+            continue
         due, s, j = heapq.heappop(ready)
+        if closed and j >= blocks[s]:
+            continue
         if due <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((s, j))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return out
+        balanced = balanced and j < full[s]
+        if j < blocks[s]:
+            yield s, j, slot, balanced
+            if j + 1 == blocks[s]:
+                active -= 1
+                weight -= parts[s]
+        heapq.heappush(waiting, ((j + 1) * total // parts[s], s, j + 1))
+        slot += 1
+
+
+def schedule(shares: dict[str, int]) -> list[tuple[str, int]]:
+    """(source, block) of each slot of one period: earliest deadline first."""
+    return [(s, j) for s, j, _, _ in deal(shares, shares)]
+
+
+def dealt_blocks(spark: SparkSession, parts: dict[str, int], rows: dict[str, int], block_rows: int) -> tuple[DataFrame, int]:
+    """The blocks as a table (_s, _block, mix_slot, mix_balanced), and how many there are."""
+    kinds = [("_s", pa.string()), ("_block", pa.int64()), ("mix_slot", pa.int64()), ("mix_balanced", pa.bool_())]
+    written, n = [], 0
+    for some in batched(deal(parts, rows, block_rows), DEALT):
+        columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*some, strict=True), kinds, strict=True)]
+        written.append(cut(spark.createDataFrame(pa.table(columns, names=[name for name, _ in kinds]))))
+        n += len(some)
+    empty = spark.createDataFrame([], "_s string, _block long, mix_slot long, mix_balanced boolean")
+    return reduce(DataFrame.union, written) if written else empty, n
 
 
 def proportional(docs: DataFrame, source_col: str = "source", max_sources: int = PERIOD // 2, power: float = 1.0) -> dict[str, float]:
@@ -74,7 +130,7 @@ def mix_sources(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     bins: int = BINS,
 ) -> DataFrame:
     """``docs`` plus mix_slot (the slot of the row's block), mix_place (from 0, inside the
@@ -83,46 +139,36 @@ def mix_sources(
     Within a source the order is by a hash of the id, then the id; blocks hold
     ``block_rows`` rows, the last one of a source fewer. All rows stay. mix_balanced is
     true as long as no source has run out, where each prefix of whole blocks deviates by
-    less than one block; later slots of exhausted sources stay empty.
+    less than one block from the weights. Later slots of exhausted sources stay empty or
+    close; every block remains in the window that its source's weight gives it. With
+    ``period`` the weights count as their integer shares of so many slots.
 
     A null source counts as the source of empty name. A source without weight raises an
     error when the result is computed; a weighted source without rows only leaves its
-    slots empty (mix_balanced then is false throughout). Rows that repeat an id get
+    slots empty (mix_balanced then is false from its first one on). Rows that repeat an id get
     places of their own, in no particular order. Columns named as the new ones are
     replaced. Numbering is by bins of each source (counts first, then places inside a
     bin), so a source with most rows spreads over ``bins`` groups.
     """
-    shares = shares_of(weights, period)
-    slots = schedule(shares)
+    parts = exact(weights) if period is None else shares_of(weights, period)
     spark = docs.sparkSession
-    rows = docs.drop("mix_slot", "mix_place", "mix_balanced")
+    rows = docs.drop(*NEW)
     order = F.xxhash64(F.lit("mix"), id_col)
     # the bin follows the hash's order, so bins in turn are the source in turn
     rows = rows.withColumns({"_s": F.coalesce(F.col(source_col), F.lit("")), "_h": order, "_bin": F.floor((order / 2.0**64 + 0.5) * bins).cast("int")})
     sizes = rows.groupBy("_s", "_bin").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = cut(sizes.withColumn("_before", before))  # at most ``bins`` rows a source
-    counts = {r["_s"]: r["n"] for r in sizes.groupBy("_s").agg(F.sum("_n").alias("n")).limit(period + 1).collect()}
-    horizon = min((_slot_of(counts.get(s, 0) // block_rows, s, shares, slots) for s in shares), default=0)
+    counts = {r["_s"]: r["n"] for r in sizes.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}
+    blocks, n = dealt_blocks(spark, parts, counts, block_rows)
     place = F.row_number().over(W.partitionBy("_s", "_bin").orderBy("_h", id_col)) - 1
-    numbered = rows.withColumn("_at", place).join(F.broadcast(sizes) if len(shares) * bins <= 1_000_000 else sizes, ["_s", "_bin"])
+    numbered = rows.withColumn("_at", place).join(F.broadcast(sizes) if len(counts) * bins <= 1_000_000 else sizes, ["_s", "_bin"])
     at = F.col("_before") + F.col("_at")
     numbered = numbered.withColumns({"_block": F.floor(at / block_rows), "mix_place": (at % block_rows).cast("int")})
-    known = spark.createDataFrame([(s, shares[s], j, i) for i, (s, j) in enumerate(slots)], "_s string, _share int, _j int, _slot int")
-    known = known.withColumn("_known", F.lit(True))
-    share = F.element_at(F.create_map(*[F.lit(x) for s in shares for x in (s, shares[s])]), F.col("_s"))
-    numbered = numbered.withColumn("_per", share).withColumn("_j", (F.col("_block") % F.col("_per")).cast("int"))
-    numbered = numbered.join(F.broadcast(known.drop("_share")), ["_s", "_j"], "left")
-    slot = F.floor(F.col("_block") / F.col("_per")) * sum(shares.values()) + F.col("_slot")
-    numbered = numbered.withColumn("mix_slot", F.when(F.col("_known"), slot).otherwise(F.raise_error(F.concat(F.lit("no weight for source "), "_s"))))
-    numbered = numbered.withColumn("mix_balanced", F.col("mix_slot") < horizon)
-    return numbered.drop("_s", "_h", "_bin", "_at", "_n", "_before", "_block", "_per", "_j", "_slot", "_known")
-
-
-def _slot_of(block: int, source: str, shares: dict[str, int], slots: list[tuple[str, int]]) -> int:
-    """The slot of a source's block, by number."""
-    turn, j = divmod(block, shares[source])
-    return turn * sum(shares.values()) + slots.index((source, j))
+    numbered = numbered.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, ["_s", "_block"], "left")
+    missing = F.raise_error(F.concat(F.lit("no weight for source "), "_s")).cast("long")
+    numbered = numbered.withColumn("mix_slot", F.coalesce("mix_slot", missing))
+    return numbered.select(*[c for c in docs.columns if c not in NEW], *NEW)
 
 
 def in_mixed_order(spark: SparkSession, mixed: DataFrame) -> DataFrame:

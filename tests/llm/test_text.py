@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -208,6 +209,48 @@ def test_mixture(spark):
         mixing.mix_sources(frame, {"a": 0.0})
 
 
+def test_exact_weights_hold_over_many_periods():
+    for hot, n in ((0.203, 40_000), (0.9, 40_000)):
+        weights = {"hot": hot, "rare": 0.0001, **{f"s{i}": (1 - hot - 0.0001) / 18 for i in range(18)}}
+        total, done = sum(weights.values()), dict.fromkeys(weights, 0)
+        seen = mixing.deal(mixing.exact(weights), dict.fromkeys(weights, n))
+        for at, (s, j, slot, balanced) in enumerate(islice(seen, n)):
+            assert (slot, j, balanced) == (at, done[s], True)
+            done[s] += 1
+            assert all(abs(done[x] - (slot + 1) * w / total) < 1 + 1e-9 for x, w in weights.items())
+
+
+def test_blocks_keep_their_windows_when_sources_run_out():
+    for seed in range(40):
+        rng = random.Random(seed)
+        weights = {f"s{i}": 10 ** rng.uniform(-6, 0) for i in range(rng.randint(1, 12))}
+        rows = {s: rng.choice([0, 3, 4, 100, 400]) for s in weights}
+        parts = mixing.exact(weights)
+        total, slots, out = sum(parts.values()), set(), 0
+        first = {s: rows[s] // 4 * total // parts[s] for s in parts}
+        late = min(-(-(rows[s] // 4 + 1) * total // parts[s]) for s in parts)
+        for s, j, slot, balanced in mixing.deal(parts, rows, 4):
+            assert j * total // parts[s] <= slot < -(-(j + 1) * total // parts[s])
+            assert balanced or slot >= min(first.values())
+            assert not balanced or slot < late
+            slots.add(slot)
+            out += 1
+        assert len(slots) == out == sum(-(-n // 4) for n in rows.values())
+
+
+def test_rows_follow_exact_weights(spark, monkeypatch):
+    weights = {"hot": 0.203, **{f"s{i:02}": 0.797 / 19 for i in range(19)}}
+    frame = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 < 203 THEN 'hot' ELSE concat('s', lpad(id % 19, 2, '0')) END AS source")
+    monkeypatch.setattr(mixing, "DEALT", 7_000)
+    for broadcast in (0, 100_000):
+        monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", broadcast)
+        got = mixing.mix_sources(frame, weights, block_rows=2).filter("mix_balanced").toPandas()
+        hot = got[got.mix_place == 0].sort_values("mix_slot")
+        assert hot.mix_slot.tolist() == list(range(len(hot))) and len(hot) > 8 * mixing.PERIOD
+        ahead = (hot.source == "hot").cumsum().to_numpy() - 0.203 * np.arange(1, len(hot) + 1)
+        assert abs(ahead).max() < 1 + 1e-9
+
+
 def test_mix_query(spark):
     t = pd.read_parquet(f"{SF}/documents.parquet")
     out = QUERIES["op7_mix_sources"](spark, SF).toPandas()
