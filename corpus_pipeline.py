@@ -8,6 +8,7 @@ they score as harmless, are copies of each other, and encode to no ids.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postsieve.llm import byte_bpe, exact, jaccard, mixing, toxicity
@@ -48,14 +49,37 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(spark, mixing.mix_sources(docs, weights)).select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_slot and mix_place. Ids and sources alone are numbered and then
+    joined; only rows that repeat an id of their source are regrouped with their texts."""
+    weights = mixing.proportional(docs, power=MIX_POWER)
+    if not weights:
+        return docs.withColumns({"mix_slot": F.lit(None).cast("long"), "mix_place": F.lit(None).cast("int")})
+    numbered = mixing.mix_sources(docs.select("doc_id", "source"), weights)
+    key = [F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_of")]
+    places = cut(numbered.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("mix_slot", "mix_place"))).alias("_places")))
+    few = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
+    rows = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_of")))
+    out = rows.filter(F.size("_places") == 1).withColumn("_nth", F.lit(1))
+    if not places.filter(F.size("_places") > 1).isEmpty():
+        nth = F.row_number().over(W.partitionBy("_id", "_of").orderBy("n_chars"))
+        out = out.union(rows.filter(F.size("_places") > 1).withColumn("_nth", nth))
+    place = F.element_at("_places", F.col("_nth"))
+    return out.select(*docs.columns, place["mix_slot"].alias("mix_slot"), place["mix_place"].alias("mix_place"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text (little-endian uint32) in place of the text, and digests of
-    the ids and of what decodes from them."""
+    """Token ids of every text (little-endian uint32) in place of the text, digests of the
+    ids and of what decodes from them, and the document's slot and place in the mixture.
+
+    The mixture follows from ids and sources alone, so it is computed here again: files
+    that are read back come in no certain order.
+    """
     import public_tokenizers
 
     blob = byte_bpe.rank_file(public_tokenizers.path(VOCABULARY))
-    out = byte_bpe.encode_texts(docs, blob, public_tokenizers.PATTERN)
-    return out.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    out = byte_bpe.encode_texts(placed(docs), blob, public_tokenizers.PATTERN)
+    return out.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "mix_slot", "mix_place")
 
 
 STAGES = [

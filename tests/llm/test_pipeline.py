@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline as cp
-from postsieve.llm import toxicity
+from postsieve.llm import mixing, toxicity
 from postsieve.llm.common import table
 from test_dedup import brute_documents
 
@@ -56,6 +56,28 @@ def test_run(spark):
     assert (out.n_tokens * 4 == out.ids.map(len)).all()
 
 
+def test_repeated_ids_have_places_of_their_own(spark):
+    rows = [(i, f"text {n}", "en", s, n) for n, (i, s) in enumerate([(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (None, None), (2, None), (3, "b")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.placed(docs).collect()
+    assert sorted(r.n_chars for r in out) == list(range(8))
+    assert len({(r.mix_slot, r.mix_place) for r in out}) == 8
+
+
+def test_run_returns_the_mixture(spark):
+    out = cp.run(spark, SF).select("doc_id", "source", "mix_slot", "mix_place").toPandas()
+    counts = out.source.value_counts().to_dict()
+    dealt = {(s, j): slot for s, j, slot, _ in mixing.deal(mixing.exact({s: float(n) ** cp.MIX_POWER for s, n in counts.items()}), counts, mixing.BLOCK_ROWS)}
+    # within a source by hash of the id, as the operator says
+    hashed = spark.createDataFrame([(int(i),) for i in out.doc_id], "doc_id long").selectExpr("doc_id", "xxhash64('mix', doc_id) AS h")
+    order = {r.doc_id: r.h for r in hashed.collect()}
+    for source, rows in out.groupby("source"):
+        ids = sorted(rows.doc_id, key=lambda i: (order[i], i))
+        want = {i: (dealt[source, at // mixing.BLOCK_ROWS], at % mixing.BLOCK_ROWS) for at, i in enumerate(ids)}
+        assert {r.doc_id: (r.mix_slot, r.mix_place) for r in rows.itertuples()} == want
+    assert len(out) > 100 and not out.duplicated(["mix_slot", "mix_place"]).any()
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "x", None, "a", 1), (3, "x " * 40_000, "en", "b", 9)]])
 def test_edges(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
