@@ -251,6 +251,18 @@ def test_rows_follow_exact_weights(spark, monkeypatch):
         assert abs(ahead).max() < 1 + 1e-9
 
 
+def test_more_sources_than_slots_of_a_period(spark):
+    frame = spark.range(9_000).selectExpr("id AS doc_id", "concat('site', CASE WHEN id < 6000 THEN id % 3000 ELSE 0 END) AS source")
+    weights = mixing.proportional(frame, power=0.7)
+    assert len(weights) == 3_000 > mixing.PERIOD
+    out = mixing.mix_sources(frame, weights, block_rows=1).toPandas()
+    assert sorted(out.doc_id) == list(range(9_000)) and out.mix_slot.is_unique
+    total = sum(weights.values())
+    for source, rows in out.groupby("source"):
+        w = weights[source] / total
+        assert all(j / w - 1 < slot < (j + 1) / w + 1 for j, slot in enumerate(sorted(rows.mix_slot)))
+
+
 def test_mix_query(spark):
     t = pd.read_parquet(f"{SF}/documents.parquet")
     out = QUERIES["op7_mix_sources"](spark, SF).toPandas()
