@@ -54,3 +54,11 @@ def new_only(
         keys = (batch if keys is None else keys).select(key).distinct()
         known = known.join(F.broadcast(keys), key, "left_semi").distinct()
     return batch.join(known, key, "left_anti")
+
+
+def without_packed(batch: DataFrame, packed: Sequence[DataFrame], key: str = "job_key") -> DataFrame:
+    """The rows of ``batch`` whose key is in none of ``packed``, tables bucketed by key: the
+    batch is brought to their buckets, they are read where they lie."""
+    for known in packed:
+        batch = batch.join(known, key, "left_anti")
+    return batch

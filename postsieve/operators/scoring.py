@@ -1,4 +1,4 @@
-"""Title blocklist and weighted phrase scoring.
+"""Weighted phrase scoring.
 
 A phrase matches where it occurs in the lower-cased search text between word
 boundaries. ``match_pattern`` states that rule once, as a regular expression;
@@ -6,12 +6,10 @@ the physical forms below only differ in how they avoid evaluating it:
 
 * scan: for a short lexicon. Each phrase is a constant expression of one projection.
   No join, no shuffle, works on streams.
-* anchored join: for a long lexicon. Each distinct word of a text is looked up
-  among the phrases' anchors (their longest word), and only the phrases found are
-  tested. The cost does not depend on the number of phrases.
-* row-local lookup: the long form on streams, where rows cannot be regrouped. The
-  lexicon is a constant array; of it only phrases whose anchor is a word of the text
-  are tested.
+* n-gram join: for a long lexicon. A phrase is known by the run of words it consists of, and
+  a text is looked up by its runs of those lengths. Only phrases whose words stand together
+  in a text meet it, however many phrases share a word, so the cost does not depend on the
+  number of phrases. Streams hand their micro-batches over.
 """
 
 from __future__ import annotations
@@ -23,19 +21,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import search_text
-from postsieve.operators.sizes import BROADCAST_MAX_BYTES, at_most, hashed_bytes
+from postsieve.operators.blocklist import blocked_by_title, literal
+from postsieve.operators.sizes import BROADCAST_MAX_BYTES, at_most, hashed_width
+from postsieve.operators.skew import look_up
 from postsieve.schemas import LEXICON, local_frame
+from postsieve.store.folders import ensure_checkpoint_dir
 
 BLOCKED_MARK = "[BLOCKED: title match]"  # fixed value
 
-# Forms only; results do not depend on these. Above the last one (rows of a lexicon or
-# blocklist as constants of a plan) only batches are served, by a join.
-SCAN_MAX_PHRASES = 64
-SCAN_MAX_PATTERNS = 256
-CONSTANT_MAX_ROWS = 100_000
+SCAN_MAX_PHRASES = 64  # a form only; results do not depend on it
+
+# Words of a key. Longer phrases are known by the run of so many words that the fewest
+# phrases share.
+GRAM_WORDS = 4
 
 # Letters, numbers and underscore. \w and \b differ between JDK releases.
 _WORD = r"[\p{L}\p{N}_]"
+_WORDS = r"[\p{L}\p{N}_]+"
 _NOT_WORDS = r"[^\p{L}\p{N}_]+"
 _HITS = "array<struct<ord:int,phrase:string,weight:int>>"
 
@@ -59,15 +61,49 @@ def match_pattern(needle: Column) -> Column:
     return F.concat(quoted, before, F.lit(_WORD), quoted, F.lit(")"), after, F.lit(_WORD + ")"))
 
 
-def prepare_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Add the lower-cased needle, its pattern and its anchor."""
-    needle = F.lower("phrase")
-    words = F.transform(F.split(needle, _NOT_WORDS), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    return lexicon.select(
-        F.col("ord").cast("int").alias("ord"),
-        "phrase",
-        F.col("weight").cast("int").alias("weight"),
-    ).select("*", needle.alias("needle"), match_pattern(needle).alias("pattern"), F.array_max(words)["w"].alias("anchor"))
+def _split(text: Column) -> Column:
+    """The words of a text in order; splitting leaves an empty one at either end only."""
+    return F.filter(F.split(text, _NOT_WORDS), lambda w: w != "")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Runs of ``n`` consecutive words, joined by one space."""
+    if n == 1:
+        return words
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    run = F.slice(words, F.lit(1), count)
+    for k in range(2, n + 1):
+        run = F.zip_with(run, F.slice(words, F.lit(k), count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return run
+
+
+_COLUMNS = ("ord", "phrase", "weight", "needle", "pattern", "size", "gram", "exact")
+
+
+def _worded(lexicon: DataFrame) -> DataFrame:
+    """Each distinct entry with its lower-cased needle, its pattern and its words."""
+    needle, weight = F.lower("phrase"), F.col("weight").cast("int").alias("weight")
+    phrases = lexicon.select(F.col("ord").cast("int").alias("ord"), "phrase", weight).distinct()
+    return phrases.select("*", needle.alias("needle"), match_pattern(needle).alias("pattern"), _split(needle).alias("_words"))
+
+
+def prepare_lexicon(worded: DataFrame) -> DataFrame:
+    """Add ``gram``, the key by which texts find a phrase, and ``size``, its number of words.
+
+    A phrase without any word matches only where it fills a gap between two words, so it is
+    its own key, of size 0. ``exact`` says that the key stands for the whole phrase: a text
+    that holds the word holds the phrase.
+    """
+    count = F.size("_words")
+    size = F.least(count, F.lit(GRAM_WORDS))
+    runs = F.when(count == 0, F.array("needle"))
+    for n in range(1, GRAM_WORDS + 1):
+        runs = runs.when(size == n, F.array_distinct(_runs(F.col("_words"), n)))
+    each = worded.select("needle", F.explode(runs).alias("gram")).distinct()
+    shared = each.groupBy("gram").agg(F.count("*").alias("n"))
+    best = each.join(shared, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    exact = (F.col("size") == 1) & (F.col("needle") == F.col("gram"))
+    return worded.withColumn("size", size).join(best, "needle").withColumn("exact", exact).select(*_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -77,32 +113,25 @@ class Lexicon:
     table: DataFrame
     entries: tuple | None  # all rows, when the lexicon is short
     fits_broadcast: bool
-    constants: tuple | None = None  # all rows, when they may become constants of a plan
-    anchors: tuple = ()  # distinct anchors, likewise
-    has_wordless: bool = True  # some phrase has no word at all
+    sizes: tuple[int, ...] = ()  # words of the keys of a long lexicon
 
     @classmethod
     def of(cls, lexicon: DataFrame | Lexicon, scan_max: int = SCAN_MAX_PHRASES) -> Lexicon:
         if isinstance(lexicon, cls):
             return lexicon
-        table = prepare_lexicon(lexicon)
-        entries = at_most(table, scan_max)
-        empty = F.coalesce(F.length("phrase"), F.lit(0)) == 0
-        if any(not e.phrase for e in entries) if entries is not None else table.filter(empty).limit(1).count():
-            raise ValueError("empty phrase in lexicon")
+        worded = _worded(lexicon)
+        entries = at_most(worded.drop("_words"), scan_max)
         if entries is not None:
-            return cls(table, tuple(sorted(entries)), True, tuple(entries))
-        constants = at_most(table, CONSTANT_MAX_ROWS)
-        if constants is None:
-            wordless = not table.filter("anchor = ''").limit(1).isEmpty()
-            return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES, has_wordless=wordless)
-        anchors = tuple(sorted({e.anchor for e in constants}))
-        return cls(table, None, hashed_bytes(table) <= BROADCAST_MAX_BYTES, tuple(constants), anchors, "" in anchors)
-
-
-def _literal(text: str) -> str:
-    """``text`` as a SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+            if any(not e.phrase for e in entries):
+                raise ValueError("empty phrase in lexicon")
+            return cls(worded, tuple(sorted(entries, key=lambda e: (e.ord, e.phrase, e.weight))), True)
+        ensure_checkpoint_dir(lexicon.sparkSession)
+        table = prepare_lexicon(worded).checkpoint()
+        empty = F.count_if(F.coalesce(F.length("phrase"), F.lit(0)) == 0)
+        kinds = table.groupBy("size").agg(F.sum(hashed_width(table)).alias("bytes"), empty.alias("empty")).collect()
+        if any(k["empty"] for k in kinds):
+            raise ValueError("empty phrase in lexicon")
+        return cls(table, None, sum(k["bytes"] for k in kinds) <= BROADCAST_MAX_BYTES, tuple(sorted(k["size"] for k in kinds)))
 
 
 def scan_hits(text: str, entries: Sequence) -> Column:
@@ -112,112 +141,66 @@ def scan_hits(text: str, entries: Sequence) -> Column:
     need no more; patterns are constants, compiled once per task.
     """
     tests = [
-        f"if(contains({text}, {_literal(e.needle)}), if(rlike({text}, {_literal(e.pattern)}),"
-        f" named_struct('ord', {e.ord}, 'phrase', {_literal(e.phrase)}, 'weight', {e.weight}), null), null)"
+        f"if(contains({text}, {literal(e.needle)}), if(rlike({text}, {literal(e.pattern)}),"
+        f" named_struct('ord', {e.ord}, 'phrase', {literal(e.phrase)}, 'weight', {e.weight}), null), null)"
         for e in entries
     ]
     return F.expr(f"array_compact(array({', '.join(tests)}))") if tests else F.array().cast(_HITS)
 
 
-def looked_up_hits(text: Column, entries: Sequence) -> Column:
-    """The same structs for a lexicon of any length, from the row alone."""
-    if not entries:
-        return F.array().cast(_HITS)
-    ordered = sorted(entries, key=lambda e: (e.ord, e.phrase, e.weight))
-    fields = ("ord", "phrase", "weight", "needle", "pattern", "anchor")
-    columns = F.arrays_zip(*[F.lit([getattr(e, f) for e in ordered]).alias(f) for f in fields])
-    words = F.array_distinct(F.concat(F.split(text, _NOT_WORDS), F.array(F.lit(""))))
-    present = F.array_intersect(words, F.lit(sorted({e.anchor for e in entries})))
-    # bound to a variable, so that neither is worked out again for every phrase
-    bound = F.array(F.struct(text.alias("text"), present.alias("present")))
-    tested = F.transform(
-        bound,
-        lambda b: F.filter(
-            columns,
-            lambda e: F.array_contains(b["present"], e["anchor"])
-            & ((e["needle"] == e["anchor"]) | (F.contains(b["text"], e["needle"]) & F.regexp_like(b["text"], e["pattern"]))),
-        ),
-    )
-    return F.transform(F.get(tested, F.lit(0)), lambda e: F.struct(e["ord"].alias("ord"), e["phrase"].alias("phrase"), e["weight"].alias("weight"))).cast(_HITS)
+def text_grams(texts: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
+    """(key, gram): the distinct runs of words, and gaps between words, of each text."""
+    split = texts.select(key, "text", _split(F.col("text")).alias("_words"))
+    keys = [_runs(F.col("_words"), n) for n in sizes if n]
+    if 0 in sizes:
+        keys.append(F.split("text", _WORDS))
+    return split.select(key, F.explode(F.array_distinct(F.concat(*keys))).alias("gram"))
 
 
-def anchored_hits(texts: DataFrame, key: str, lexicon: Lexicon, unique: bool = False) -> DataFrame:
-    """(key, hits) for the rows of ``texts(key, text)`` that match anything.
+def _met(texts: DataFrame, key: str, lexicon: Lexicon) -> DataFrame:
+    """(key, entry) for the entries of a broadcast lexicon whose key a text holds.
+
+    Keys of one word are looked up directly. Where there are longer ones, a word is first
+    looked up among those that start a key, and only there the run is put together.
+    """
+    table = F.broadcast(lexicon.table)
+    if max(lexicon.sizes, default=0) <= 1:
+        return text_grams(texts, key, lexicon.sizes).join(table, "gram")
+    starts = lexicon.table.filter("size > 0").select(F.substring_index("gram", " ", 1).alias("_word"), "size").distinct()
+    words = texts.select(key, _split(F.col("text")).alias("_words"))
+    started = words.select(key, "_words", F.posexplode("_words").alias("_pos", "_word")).join(F.broadcast(starts), "_word")
+    run = F.array_join(F.slice("_words", F.col("_pos") + 1, F.col("size")), " ")
+    met = started.select(key, run.alias("gram")).join(table, "gram")
+    return met.unionByName(text_grams(texts, key, (0,)).join(table, "gram")) if 0 in lexicon.sizes else met
+
+
+def candidates(texts: DataFrame, key: str, lexicon: Lexicon, unique: bool = False) -> DataFrame:
+    """(key, candidates): the entries whose key stands in each text of ``texts(key, text)``.
 
     Rows of equal key must have equal text; ``unique`` says that keys do not repeat.
-    Where the anchors are few enough to be constants, only words that are anchors leave
-    their row. Matches are aggregated per key before they are shuffled, so copies of one
-    text collapse where they lie.
+    Candidates are aggregated per key before they are shuffled, so copies of one text collapse
+    where they lie; texts are not moved. A lexicon that is too large to be broadcast meets the
+    grams in a shuffle, where grams that fill many texts are counted first and broadcast.
     """
-    words = F.array_distinct(F.split("text", _NOT_WORDS))
-    if lexicon.has_wordless:
-        words = F.array_distinct(F.concat(words, F.array(F.lit(""))))
-    elif not lexicon.anchors:
-        words = F.filter(words, lambda w: w != "")
-    if lexicon.anchors:
-        words = F.array_intersect(words, F.lit(list(lexicon.anchors)))
     if lexicon.fits_broadcast:
-        found = texts.select(key, "text", F.explode(words).alias("anchor")).join(
-            F.broadcast(lexicon.table), "anchor"
-        )
+        met = _met(texts, key, lexicon)
     else:
-        # Keys and words only go through the large join; texts come back by key.
-        candidates = texts.select(key, F.explode(words).alias("anchor"))
-        candidates = (candidates if unique else candidates.distinct()).join(lexicon.table, "anchor")
+        ensure_checkpoint_dir(texts.sparkSession)
         once = texts if unique else texts.groupBy(key).agg(F.any_value("text").alias("text"))
-        found = candidates.join(once, key)
-    # A phrase that is a single word has been matched by the join itself. For the others
-    # a substring test spares most of the patterns, which differ from row to row.
-    exact = F.col("needle") == F.col("anchor")
-    bounded = F.contains("text", "needle") & F.regexp_like(F.col("text"), F.col("pattern"))
-    return (
-        found.filter(exact | bounded)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_set(F.struct("ord", "phrase", "weight"))).alias("hits"))
-    )
+        held = text_grams(once, key, lexicon.sizes)
+        counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+        phrases = lexicon.table.groupBy("gram").agg(F.collect_list(F.struct("ord", "phrase", "weight", "exact")).alias("e"))
+        known = phrases.join(counts, "gram").checkpoint()
+        met = look_up(held, known, ["gram"], "n").select(key, F.explode("e").alias("e")).select(key, "e.*")
+    return met.groupBy(key).agg(F.collect_set(F.struct("ord", "phrase", "weight", "exact")).alias("candidates"))
 
 
-def blocked_by_title(df: DataFrame, blocklist: Sequence[str] | DataFrame, title: str = "title") -> DataFrame:
-    """Add ``blocked``: some pattern is a case-insensitive substring of the title.
-
-    Row-local, also on streams, up to CONSTANT_MAX_ROWS patterns.
-    """
-    if isinstance(blocklist, DataFrame):
-        patterns = blocklist.select(F.lower("pattern").alias("pattern")).distinct()
-        rows = at_most(patterns, CONSTANT_MAX_ROWS)
-        if rows is None:
-            return _blocked_by_join(df, patterns, title)
-        blocklist = [r.pattern for r in rows]
-    blocklist = sorted({p.lower() for p in blocklist if p is not None})
-    if len(blocklist) > CONSTANT_MAX_ROWS:
-        patterns = df.sparkSession.createDataFrame([(p,) for p in blocklist], "pattern string")
-        return _blocked_by_join(df, patterns, title)
-    if len(blocklist) > SCAN_MAX_PATTERNS:
-        lowered = F.coalesce(F.lower(F.col(title)), F.lit(""))
-        return df.withColumn("blocked", F.exists(F.lit(blocklist), lambda p: F.contains(lowered, p)))
-    tests = [f"contains(coalesce(lower(`{title}`), ''), {_literal(p)})" for p in blocklist]
-    return df.withColumn("blocked", F.expr(" or ".join(tests) or "false"))
-
-
-def _blocked_by_join(df: DataFrame, patterns: DataFrame, title: str) -> DataFrame:
-    """A long blocklist: equi-join on the title's substrings of the patterns' lengths."""
-    lengths = [r.n for r in patterns.select(F.length("pattern").alias("n")).distinct().orderBy("n").collect()]
-    titles = df.select(F.coalesce(F.lower(F.col(title)), F.lit("")).alias("_title")).distinct()
-    n = F.col("_n")
-    pieces = F.when(
-        F.length("_title") >= n,
-        F.transform(F.sequence(F.lit(1), F.length("_title") - n + 1), lambda i: F.substring(F.col("_title"), i, n)),
-    )
-    hits = (
-        titles.select("_title", F.explode(F.array(*[F.lit(i) for i in lengths])).alias("_n"))
-        .select("_title", F.explode(F.array_distinct(pieces)).alias("pattern"))
-        .join(patterns, "pattern", "left_semi")
-        .select("_title")
-        .distinct()
-        .withColumn("blocked", F.lit(True))
-    )
-    keyed = df.withColumn("_title", F.coalesce(F.lower(F.col(title)), F.lit("")))
-    return keyed.join(hits, "_title", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False))).drop("_title")
+def confirmed(text: Column, found: Column) -> Column:
+    """The candidates that match, in lexicon order. A substring test spares most patterns."""
+    needle = lambda c: F.lower(c["phrase"])
+    bounded = lambda c: F.contains(text, needle(c)) & F.regexp_like(text, match_pattern(needle(c)))
+    kept = F.array_sort(F.filter(found, lambda c: c["exact"] | bounded(c)))
+    return F.transform(kept, lambda c: F.struct(c["ord"].alias("ord"), c["phrase"].alias("phrase"), c["weight"].alias("weight")))
 
 
 def score_listings(
@@ -241,12 +224,7 @@ def score_listings(
             "_hits", F.when(~F.col("blocked"), scan_hits("_text", lexicon.entries))
         ).drop("_text")
     elif df.isStreaming:
-        if lexicon.constants is None:
-            raise ValueError(f"a stream takes a lexicon of at most {CONSTANT_MAX_ROWS} phrases")
-        texts = judged.withColumn("_text", F.when(~F.col("blocked"), text))
-        matched = texts.withColumn(
-            "_hits", F.when(~F.col("blocked"), looked_up_hits(F.col("_text"), lexicon.constants))
-        ).drop("_text")
+        raise ValueError(f"a stream takes a lexicon of at most {SCAN_MAX_PHRASES} phrases; score its micro-batches")
     else:
         row_key = F.col(key) if key else F.sha2(text, 256)
         # blocked rows match nothing; keys of their own keep them from meeting in one task
@@ -254,9 +232,9 @@ def score_listings(
         keyed = judged.withColumn("_key", F.when(~F.col("blocked"), row_key).otherwise(apart)) if not key else judged
         by = key or "_key"
         texts = keyed.filter(~F.col("blocked")).select(by, text.alias("text"))
-        matched = keyed.join(
-            anchored_hits(texts, by, lexicon, unique=bool(key)).withColumnRenamed("hits", "_hits"), by, "left"
-        ).select(*judged.columns, "_hits")
+        found = candidates(texts, by, lexicon, unique=bool(key)).withColumnRenamed("candidates", "_found")
+        joined = keyed.join(found, by, "left").select(*judged.columns, "_found", F.when(F.col("_found").isNotNull(), text).alias("_text"))
+        matched = joined.withColumn("_hits", confirmed(F.col("_text"), F.col("_found"))).drop("_found", "_text")
     hits = F.coalesce(F.col("_hits"), F.array().cast(_HITS))
     score = F.aggregate(hits, F.lit(0), lambda total, h: total + h["weight"])
     phrases = F.transform(hits, lambda h: h["phrase"])

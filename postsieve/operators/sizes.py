@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,11 +12,15 @@ BROADCAST_MAX_BYTES = 32 << 20
 _OVERHEAD, _ROW = 4, 64
 
 
+def hashed_width(df: DataFrame) -> Column:
+    """Estimated bytes of a row of ``df`` in a broadcast hash table."""
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
+    return F.lit(_OVERHEAD) * sum(texts, F.lit(_ROW + 8 * len(df.columns)))
+
+
 def hashed_bytes(df: DataFrame) -> int:
     """Estimated size of ``df`` as a broadcast hash table, from one aggregate over it."""
-    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if f.dataType == T.StringType()]
-    width = sum(texts, F.lit(_ROW + 8 * len(df.columns)))
-    return _OVERHEAD * (df.agg(F.sum(width)).first()[0] or 0)
+    return df.agg(F.sum(hashed_width(df))).first()[0] or 0
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:

@@ -7,7 +7,7 @@ columns it needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -20,9 +20,10 @@ from postsieve import defaults
 from postsieve.operators.alerts import alert_payloads, summary_payload
 from postsieve.functions.keys import ID_DIGITS
 from postsieve.operators.counts import error_list, error_messages, source_counts
-from postsieve.operators.dedup import ARRIVAL, CONTENT, first_wins, new_only, with_key
+from postsieve.operators.dedup import ARRIVAL, CONTENT, first_wins, new_only, with_key, without_packed
 from postsieve.operators.queue import number_rows, pending
-from postsieve.operators.scoring import CONSTANT_MAX_ROWS, Lexicon, lexicon_frame, score_listings
+from postsieve.operators.blocklist import SCAN_MAX_PATTERNS
+from postsieve.operators.scoring import Lexicon, lexicon_frame, score_listings
 from postsieve.operators.sizes import at_most
 from postsieve.operators.targets import apply_target_floor
 from postsieve.schemas import QUARANTINE, RUNS
@@ -53,7 +54,7 @@ class RunConfig:
         """With the lexicon and blocklist looked at once, for many batches."""
         blocklist = self.blocklist
         if isinstance(blocklist, DataFrame):
-            rows = at_most(blocklist.select("pattern"), CONSTANT_MAX_ROWS)
+            rows = at_most(blocklist.select("pattern"), SCAN_MAX_PATTERNS)
             blocklist = blocklist if rows is None else [r.pattern for r in rows if r.pattern is not None]
         return replace(self, lexicon=Lexicon.of(self.lexicon), blocklist=blocklist)
 
@@ -77,10 +78,12 @@ class RunResult:
 
 
 def new_listings(
-    listings: DataFrame, stored: DataFrame, config: RunConfig, batch_rows: int | None = None
+    listings: DataFrame, stored: DataFrame, config: RunConfig, batch_rows: int | None = None, packed: Sequence[DataFrame] = ()
 ) -> DataFrame:
     """First sightings of a batch that the store lacks, scored and floored.
 
+    ``packed`` are further tables of known keys, bucketed by key.
+
     Known keys go first, and the copies that are left compete without their descriptions:
     the start and a digest of it break the last ties. Descriptions of the winners come
     after that, and scoring last, as a copy's score would be thrown away.
@@ -91,7 +94,7 @@ def new_listings(
     )
     order = [*ARRIVAL, *short, "_start", "_tie"]
     place = ["job_key", *order]
-    fresh = new_only(keyed.select(*place), stored, batch_rows, keys=keyed)
+    fresh = new_only(without_packed(keyed.select(*place), packed), stored, batch_rows, keys=keyed)
     winners = first_wins(fresh, order=order)
     winners = winners.select(*[F.col(c).alias(f"_won_{c}") for c in place])
     same = [F.col(c).eqNullSafe(F.col(f"_won_{c}")) for c in place]
@@ -103,9 +106,9 @@ def new_listings(
 
 def _write_outbox(store: ListingStore, run_id: str, run_ts: datetime, config: RunConfig, mode: str) -> DataFrame:
     """The pending queue in order: keys are numbered, wide columns join at the end."""
-    jobs = store.read("jobs")
+    jobs, deliveries = store.queue(config.min_score)
     narrow = jobs.select("job_key", "score", "seen_at")
-    order = number_rows(pending(narrow, store.read("deliveries"), config.min_score)).select("job_key", "seq")
+    order = number_rows(pending(narrow, deliveries, config.min_score)).select("job_key", "seq")
     rows = alert_payloads(jobs.join(order, "job_key"), F.lit(run_ts)).withColumn("mode", F.lit(mode))
     store.replace("outbox", run_id, rows.sortWithinPartitions("seq"))
     store.replace("steps", run_id, store.spark.range(1).select(F.lit(mode).alias("mode")))
@@ -186,7 +189,8 @@ def run_batch(
     bad = staged.filter("reason is not null").select(*QUARANTINE.fieldNames())
     quarantine = store.replace("quarantine", batch_id, bad.unionByName(unsupported(config.roster, kinds)))
 
-    fresh = new_listings(listings, store.jobs_before(batch_id), config, jobs_found)
+    known, packed = store.keys_before(batch_id)
+    fresh = new_listings(listings, known, config, jobs_found, packed)
     jobs_new = store.append_jobs(fresh, batch_id, run_ts, config.description_chars).count()
 
     jobs_alerted = drain_queue(store, batch_id, run_ts, config, mode, deliver)

@@ -58,6 +58,12 @@ JOBS = _struct(
     " score int, keywords strings, description string, blocked boolean, is_target boolean,"
     " seen_at timestamp"
 )
+# A listing as a stream scored it, copies included.
+SCORED = _struct(
+    "job_key string, job_id string, title string, company string, location string, url string, source string,"
+    " description string, src_rank int, endpoint_ord int, src_pos bigint, source_kind string, token string,"
+    " endpoint string, blocked boolean, is_target boolean, score int, keywords strings"
+)
 DELIVERIES = _struct("job_key string, job_id string, delivered_at timestamp, ok boolean")
 RUNS = _struct(
     "started_at timestamp, finished_at timestamp, jobs_found bigint, jobs_new bigint,"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsieve.functions.text import or_default, split_title, strip_html, strip_space, truncate
+from postsieve.schemas import RAW_PAYLOAD
 from postsieve.sources.explode import BAD_ITEM, HTTP_ERROR, RAW_CHARS, UNPARSEABLE, staged
 
 _TEXTS = ("title", "link", "description", "summary", "author", "dc:creator", "location")
@@ -15,7 +16,10 @@ ITEM = T.StructType(
     [T.StructField(name, T.StringType()) for name in _TEXTS]
     + [T.StructField("category", T.ArrayType(T.StringType()))]
 )
-_CHANNEL = T.StructType([T.StructField("channel", T.StructType([T.StructField("item", T.ArrayType(ITEM))]))])
+# Holds the text of an item that cannot be read.
+UNREAD = "_unread"
+_READ = T.StructType([*ITEM.fields, T.StructField(UNREAD, T.StringType())])
+_CHANNEL = T.StructType([T.StructField("channel", T.StructType([T.StructField("item", T.ArrayType(_READ))]))])
 
 AVIXA_DESCRIPTION_CHARS = 2000  # fixed value
 
@@ -26,6 +30,16 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(ITEM).load(path)
 
 
+def file_payloads(spark: SparkSession, path: str, source_kind: str, stream: bool = False) -> DataFrame:
+    """Feed files as payload rows, one per file; with ``stream``, those that arrive. A broken
+    file is then read item by item, and what cannot be read goes to quarantine, as for
+    fetched feeds."""
+    reader = spark.readStream if stream else spark.read
+    values = {"source_kind": F.lit(source_kind), "endpoint": F.col("_metadata.file_path"), "status_code": F.lit(200), "body": F.col("value")}
+    columns = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_PAYLOAD.fields]
+    return reader.format("text").option("wholetext", True).load(path).select(*columns)
+
+
 def items(payloads: DataFrame) -> DataFrame:
     """One row per item with ``_r`` of type ITEM; documents without items that could
     not be fetched or parsed give one row with a reason."""
@@ -34,7 +48,7 @@ def items(payloads: DataFrame) -> DataFrame:
     broken = F.col("_channel").isNull()
     single = F.transform(
         F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0)),
-        lambda raw: F.struct(F.from_xml(raw, ITEM).alias("item"), raw.alias("raw")),
+        lambda raw: F.struct(F.from_xml(raw, _READ, {"columnNameOfCorruptRecord": UNREAD}).alias("item"), raw.alias("raw")),
     )
     read = F.transform(F.col("_channel.item"), lambda i: F.struct(i.alias("item"), F.lit(None).cast("string").alias("raw")))
     found = parsed.select(
@@ -60,7 +74,8 @@ def items(payloads: DataFrame) -> DataFrame:
         .filter(F.col("reason").isNotNull() | F.col("src_pos").isNotNull())
     )
     # an item of a broken document that cannot be read alone either
-    lost = F.col("src_pos").isNotNull() & F.col("_item.item").isNull() & F.col("_item.raw").isNotNull()
+    unread = F.col("_item.item").isNull() | F.col(f"_item.item.{UNREAD}").isNotNull()
+    lost = F.col("src_pos").isNotNull() & unread & F.col("_item.raw").isNotNull()
     return exploded.select(
         *[c for c in exploded.columns if c not in ("reason", "_item", "_items", "_body")],
         F.when(lost, F.lit(BAD_ITEM)).otherwise(F.col("reason")).alias("reason"),

@@ -24,3 +24,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable, in the shared folder unless one is set already."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; nothing where there is no folder."""
+    files, at = _located(spark, path)
+    if not files.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in files.listStatus(at) if not s.getPath().getName().startswith("."))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, if it is there."""
+    files, at = _located(spark, path)
+    files.delete(at, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Make an empty folder, in one step that others see or do not see."""
+    files, at = _located(spark, path)
+    files.mkdirs(at)

@@ -2,6 +2,7 @@
 
 A batch or run owns its partition and rewrites it as a whole, so a replay leaves the
 store as it was. Nothing is ever updated: what was delivered is a ledger of its own.
+``pack`` merges old batches, see ``packs``.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from postsieve import schemas
 from postsieve.functions.text import truncate
-from postsieve.store.folders import ensure_checkpoint_dir
+from postsieve.store.folders import ensure_checkpoint_dir, remove
+from postsieve.store.packs import LEAST_SCORE, MAX_PACKS, Packs, part_ids
 
 DESCRIPTION_CHARS = 2000  # fixed value
 
@@ -23,6 +25,7 @@ DESCRIPTION_CHARS = 2000  # fixed value
 TABLES = {
     "staged": (schemas.STAGED, "batch_id"),
     "jobs": (schemas.JOBS, "batch_id"),
+    "scored": (schemas.SCORED, "batch_id"),
     "quarantine": (schemas.QUARANTINE, "batch_id"),
     "deliveries": (schemas.DELIVERIES, "run_id"),
     "runs": (schemas.RUNS, "run_id"),
@@ -43,6 +46,7 @@ class ListingStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.packs = Packs(spark, self.root)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -52,7 +56,14 @@ class ListingStore:
 
     def read(self, table: str) -> DataFrame:
         """The table, or an empty one of the same schema when it does not exist yet."""
-        return self._load(self.path(table), schemas.partitioned(*TABLES[table]))
+        live, names = self._load(self.path(table), schemas.partitioned(*TABLES[table])), self.packs.names()
+        return live.unionByName(self._packed(table, names)) if names and table != "staged" else live
+
+    def _packed(self, table: str, names: list[str]) -> DataFrame:
+        """Packed rows of the batches that have no partition of their own."""
+        rows = self.packs.read(table, schemas.partitioned(*TABLES[table]), names)
+        apart = part_ids(self.spark, self.path(table))
+        return rows.filter(~F.col(TABLES[table][1]).isin(apart)) if apart else rows
 
     def _load(self, path: str, schema) -> DataFrame:
         try:
@@ -80,7 +91,16 @@ class ListingStore:
 
     def part(self, table: str, part: str) -> DataFrame:
         """One partition, read by its path: other partitions are not even listed."""
-        return self._load(self.part_path(table, part), TABLES[table][0])
+        schema, by = TABLES[table]
+        try:
+            return self.spark.read.schema(schema).parquet(self.part_path(table, part))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+        names = self.packs.names()
+        if not names or table == "staged":
+            return self.spark.createDataFrame([], schema)
+        return self.packs.read(table, schemas.partitioned(schema, by), names).filter(F.col(by) == part).drop(by)
 
     def clock(self, run_id: str, now: datetime) -> datetime:
         """The time at which the run first began: ``now``, unless it began before."""
@@ -94,6 +114,74 @@ class ListingStore:
         """Stored listings of all other batches."""
         return self.read("jobs").filter(F.col("batch_id") != F.lit(batch_id))
 
+    def keys_before(self, batch_id: str) -> tuple[DataFrame, list[DataFrame]]:
+        """Keys of all other batches: those that lie apart, and per pack a table bucketed by
+        key, which a join reads where it lies."""
+        live = self._load(self.path("jobs"), schemas.partitioned(*TABLES["jobs"])).select("job_key", "batch_id")
+        names = self.packs.names()
+        hidden = sorted({batch_id, *part_ids(self.spark, self.path("jobs"))}) if names else []
+        packed = [k.filter(~F.col("batch_id").isin(hidden)) for k in self.packs.known_keys(names)]
+        return live.filter(F.col("batch_id") != F.lit(batch_id)).select("job_key"), [k.select("job_key") for k in packed]
+
+    def queue(self, min_score: int) -> tuple[DataFrame, DataFrame]:
+        """(listings, deliveries) from which the queue follows: a listing of at least
+        ``min_score`` is pending when it is in the first and not in the second.
+
+        The packs keep what was undelivered when they were made; only that and the batches
+        that lie apart are read. A batch that has been packed and lies apart again, as a
+        replay leaves it, or a threshold below the packs' own takes all of history.
+        """
+        names = self.packs.names()
+        if names and min_score >= LEAST_SCORE:
+            apart = sorted({i for t in ("jobs", "deliveries") for i in part_ids(self.spark, self.path(t))})
+            clocks = self.packs.read("clocks", schemas.partitioned(*TABLES["clocks"]), names)
+            if not apart or clocks.filter(F.col("run_id").isin(apart)).isEmpty():
+                schema = schemas.partitioned(*TABLES["jobs"])
+                live = self._load(self.path("jobs"), schema)
+                ledger = self._load(self.path("deliveries"), schemas.partitioned(*TABLES["deliveries"]))
+                return live.unionByName(self.packs.undelivered(schema, names)), ledger
+        return self.read("jobs"), self.read("deliveries")
+
+    def pack(self, keep: int, at: int = 0) -> int:
+        """Merge all but the ``keep`` newest complete batches into a pack; their staged rows,
+        which only their own runs read, are removed. Nothing happens while at most ``at``
+        complete batches lie apart. Returns the number of batches packed.
+
+        Safe to repeat after a failure at any point: batches count as packed once the pack is
+        named complete, and only then do their partitions go.
+        """
+        names = self.packs.names()
+        done = set(part_ids(self.spark, self.path("runs")))
+        if len(done) <= max(keep, at):
+            return 0
+        clocks = self._load(self.path("clocks"), schemas.partitioned(*TABLES["clocks"]))
+        ordered = [r.run_id for r in clocks.orderBy("started_at", "run_id").collect() if r.run_id in done]
+        old = ordered[: len(ordered) - keep]
+        if not old:
+            return 0
+        # batches that are in a pack already, after a replay or a failure, take their packs along
+        packed_before = names and not self.packs.read("clocks", schemas.partitioned(*TABLES["clocks"]), names).filter(F.col("run_id").isin(old)).isEmpty()
+        merged = names if packed_before or len(names) >= MAX_PACKS else []
+        tables, apart = {}, {}
+        for table, (schema, by) in TABLES.items():
+            if table != "staged":
+                apart[table] = self._load(self.path(table), schemas.partitioned(schema, by)).filter(F.col(by).isin(old))
+                tables[table] = apart[table].unionByName(self._packed(table, merged)) if merged else apart[table]
+        waiting = apart["jobs"].filter(F.col("score") >= LEAST_SCORE)
+        if names:
+            earlier = self.packs.undelivered(schemas.partitioned(*TABLES["jobs"]), names)
+            waiting = waiting.unionByName(earlier.filter(~F.col("batch_id").isin(part_ids(self.spark, self.path("jobs")))))
+        delivered = tables["deliveries"] if packed_before else apart["deliveries"]
+        snapshot = waiting.join(delivered.select("job_key"), "job_key", "left_anti").select(*apart["jobs"].columns)
+        last = int(names[-1].split("-")[1]) if names else 0
+        lo = int(merged[0].split("-")[0]) if merged else last + 1
+        self.packs.write(lo, last + 1, merged, tables, snapshot)
+        for table in TABLES:
+            for part in old:
+                remove(self.spark, self.part_path(table, part))
+        self.packs.clean(tables)
+        return len(old)
+
     def append_jobs(self, scored: DataFrame, batch_id: str, seen_at, description_chars: int | None = DESCRIPTION_CHARS) -> DataFrame:
         """Store new listings; the description is cut only here, after scoring, and not at
         all where ``description_chars`` is None."""

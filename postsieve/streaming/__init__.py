@@ -1,5 +1,5 @@
 """Incremental file ingest with Structured Streaming."""
 
-from postsieve.streaming.ingest import poll, read_landing, score_stream
+from postsieve.streaming.ingest import poll, read_landing, score_epochs, score_stream
 
-__all__ = ["poll", "read_landing", "score_stream"]
+__all__ = ["poll", "read_landing", "score_epochs", "score_stream"]

@@ -7,6 +7,9 @@ epoch that is run again after a failure rewrites its own partitions, at its firs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,13 +39,65 @@ def read_landing(
 
 
 def score_stream(payloads: DataFrame, config: RunConfig, boards_only: bool = False) -> DataFrame:
-    """Scored listings of a payload stream (or table), copies included; no state."""
+    """Scored listings of a payload stream (or table), copies included; no state.
+
+    On a stream the lexicon and the blocklist must be short enough to be expressions of a
+    row; ``score_epochs`` takes any.
+    """
     staged = normalise(payloads, config.roster, config.registry, boards_only=boards_only)
     listings = with_key(staged.filter(F.col("reason").isNull()).drop("reason", "detail", "raw"))
     scored = score_listings(listings, config.lexicon, config.blocklist)
     return apply_target_floor(scored, config.roster.select("name"))
 
 
+def _each_epoch(
+    payloads: DataFrame, store: ListingStore, name: str, checkpoint: str | None, interval: str | None,
+    work: Callable[[DataFrame, str], None],
+) -> StreamingQuery:
+    """Start a query that hands each micro-batch, as a table, to ``work`` with its own id.
+
+    The id is made of the query's id, which the checkpoint holds, and the epoch: another
+    checkpoint never meets these batches, and an epoch that runs again has the id it had.
+    The micro-batch is kept on the executors' disks while it is worked on, as every source
+    reads its own part of it; what is lost there is read again from the landing.
+    """
+    location = checkpoint or f"{shared_folder(store.spark)}/{name}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        held = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            work(held, f"{name}-{query}-{epoch:012d}")
+        finally:
+            held.unpersist()
+
+    writer = payloads.writeStream.queryName(name).option("checkpointLocation", location).foreachBatch(each)
+    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def score_epochs(
+    payloads: DataFrame,
+    store: ListingStore,
+    config: RunConfig,
+    name: str,
+    checkpoint: str | None = None,
+    boards_only: bool = False,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Score a payload stream into the store's table ``scored``, one partition per epoch.
+
+    Lexicons and blocklists of any length, in the form that batches use. An epoch that runs
+    again replaces its partition, so each payload's listings are in the table once.
+    """
+    config = config.resolved()
+
+    def work(batch: DataFrame, batch_id: str) -> None:
+        store.replace("scored", batch_id, score_stream(batch, config, boards_only))
+
+    return _each_epoch(payloads, store, name, checkpoint, interval, work)
+
+
 def poll(
     payloads: DataFrame,
     store: ListingStore,
@@ -53,25 +108,19 @@ def poll(
     boards_only: bool = False,
     deliver: Deliver | None = None,
     interval: str | None = None,
+    keep: int | None = None,
 ) -> StreamingQuery:
     """Start a polling query: all that has arrived, then stop; or every ``interval``.
 
     The stream's progress is kept in ``checkpoint``, by default under the session's
-    shared folder, where ``name`` must stay the same from start to start.
+    shared folder, where ``name`` must stay the same from start to start. With ``keep``, the
+    store is packed (``ListingStore.pack``) whenever twice as many batches lie apart.
     """
-    location = checkpoint or f"{shared_folder(store.spark)}/{name}"
     config = config.resolved()
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        # the id that the checkpoint holds: another checkpoint never meets these batches
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        batch_id = f"{name}-{query}-{epoch:012d}"
-        # one pass over the micro-batch; each source then reads its own partition
-        arrived = f"{store.root}/arrived/{batch_id}"
-        batch.write.mode("overwrite").partitionBy("source_kind").parquet(arrived)
-        payloads = store.spark.read.schema(RAW_PAYLOAD).parquet(arrived)
-        run_batch(store, payloads, config, batch_id, mode=mode, boards_only=boards_only, deliver=deliver)
+    def work(batch: DataFrame, batch_id: str) -> None:
+        run_batch(store, batch, config, batch_id, mode=mode, boards_only=boards_only, deliver=deliver)
+        if keep is not None:
+            store.pack(keep, at=2 * keep)
 
-    writer = payloads.writeStream.queryName(name).option("checkpointLocation", location).foreachBatch(each)
-    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.start()
+    return _each_epoch(payloads, store, name, checkpoint, interval, work)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from helpers import listing, listing_frame
 from postsieve import defaults
-from postsieve.operators import scoring
+from postsieve.operators import blocklist, scoring
 from postsieve.operators.scoring import BLOCKED_MARK, Lexicon, lexicon_frame, score_listings
+from postsieve.operators.skew import look_up
 from postsieve.operators.targets import apply_target_floor, only_targets
 
 
@@ -24,11 +25,11 @@ def by_hand(text, weights):
 def forms(lexicon):
     """Every physical form of one lexicon."""
     joined = Lexicon.of(lexicon, scan_max=0)
-    shuffled = Lexicon(joined.table, None, False)
-    return {"unlisted": Lexicon(joined.table, None, True), "scan": Lexicon.of(lexicon, scan_max=10_000), "join": joined, "shuffled": shuffled}
+    shuffled = Lexicon(joined.table, None, False, joined.sizes)
+    return {"scan": Lexicon.of(lexicon, scan_max=10_000), "join": joined, "shuffled": shuffled}
 
 
-@pytest.mark.parametrize("form", ["scan", "join", "shuffled", "unlisted"])
+@pytest.mark.parametrize("form", ["scan", "join", "shuffled"])
 def test_edge_cases(spark, form):
     weights = {"Audio Software": 10, "audio software engineer": 9, "ssl": 1, "c++": 2, ".net": 3, "über uns": 4}
     lexicon = forms(lexicon_frame(spark, weights))[form]
@@ -63,7 +64,7 @@ def test_edge_cases(spark, form):
     }
 
 
-@pytest.mark.parametrize("form", ["scan", "join", "shuffled", "unlisted"])
+@pytest.mark.parametrize("form", ["scan", "join", "shuffled"])
 def test_forms_agree_with_the_rule_on_random_text(spark, form):
     rng = random.Random(7)
     alphabet = ["a", "b", "ü", ".", "+", " ", " ", "_", "1", "Σ"]
@@ -104,17 +105,73 @@ def test_template_lexicon(spark):
     assert got["4"] == (0, [])
 
 
+@pytest.mark.parametrize("heavy", [1, 3, 5_000])
+def test_look_up_equals_a_join(spark, heavy):
+    keys = ["a"] * 50 + ["b"] * 5 + ["c", "d", None, "e"]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    table = spark.createDataFrame([("a", 1, 50), ("b", 2, 5), ("c", 3, 1), ("x", 4, 0)], "k string, v int, n int")
+    for how in ("inner", "left"):
+        got = look_up(rows, table, ["k"], "n", how, heavy)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table.drop("n"), "k", how).collect()))
+
+
+@pytest.mark.parametrize("longest", [1, 4])
+def test_long_phrases_and_shared_words(spark, monkeypatch, longest):
+    """Keys of one word up to GRAM_WORDS words, phrases longer than any key, shared words."""
+    monkeypatch.setattr(scoring, "GRAM_WORDS", longest)
+    rng = random.Random(longest)
+    words = ["red", "blue", "ü", "x_1", "c++", "big"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(150)] + ["red, blue big red", "red  blue"]
+    phrases = {" ".join(rng.choices(words, k=rng.randint(1, 7))): rng.randint(1, 9) for _ in range(250)}
+    phrases.update({"red blue": 3, "red, blue": 4, "--": 5, "++ ": 6})
+    df = listing_frame(spark, *[listing(t, url=str(i), company="a--b") for i, t in enumerate(texts)])
+    lexicon = lexicon_frame(spark, phrases)
+    for form in ("join", "shuffled"):
+        got = scores(score_listings(df, forms(lexicon)[form], key="url"))
+        for i, t in enumerate(texts):
+            assert got[str(i)] == by_hand(f"{t}  a--b", phrases), t
+
+
+def test_phrases_that_share_a_word_have_keys_of_their_own(spark):
+    lexicon = Lexicon.of(lexicon_frame(spark, {f"zq{i} audio engineer": 1 for i in range(100)}), scan_max=0)
+    assert lexicon.sizes == (3,) and lexicon.table.groupBy("gram").count().agg(F.max("count")).first()[0] == 1
+    pairs = {f"{a} {b}": 1 for a in "abcdefghijklmno" for b in "abcdefghijklmno"}
+    lexicon = Lexicon.of(lexicon_frame(spark, pairs), scan_max=0)
+    assert lexicon.sizes == (2,) and lexicon.table.groupBy("gram").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_blocklist_table_short_and_long(spark, monkeypatch):
-    df = listing_frame(spark, *[listing(t, url=t) for t in ("Director", "sound", "SOUND Dev", "", "dba x")])
-    table = spark.createDataFrame([("CTO",), ("dev",), ("dba ",)], "pattern string")
-    want = {"Director": True, "sound": False, "SOUND Dev": True, "": False, "dba x": True}
-    for scanned, constant in ((1000, 1000), (0, 1000), (0, 1)):
-        monkeypatch.setattr(scoring, "SCAN_MAX_PATTERNS", scanned)
-        monkeypatch.setattr(scoring, "CONSTANT_MAX_ROWS", constant)
-        for blocklist in (table, ["CTO", "dev", "dba "]):
-            got = scoring.blocked_by_title(df, blocklist)
-            assert {r.url: r.blocked for r in got.collect()} == want
-    assert scoring.blocked_by_title(df, []).filter("blocked").count() == 0
+    df = listing_frame(spark, *[listing(t, url=t) for t in ("Director", "sound", "SOUND Dev", "", "dba x")], listing(None, url="null"))
+    table = spark.createDataFrame([("CTO",), ("dev",), ("dba ",), (None,)], "pattern string")
+    want = {"Director": True, "sound": False, "SOUND Dev": True, "": False, "dba x": True, "null": False}
+    for scanned, broadcast in ((1000, 1 << 20), (0, 1 << 20), (0, 0)):
+        monkeypatch.setattr(blocklist, "SCAN_MAX_PATTERNS", scanned)
+        monkeypatch.setattr(blocklist, "BROADCAST_MAX_BYTES", broadcast)
+        for patterns in (table, ["CTO", "dev", "dba ", None]):
+            got = blocklist.blocked_by_title(df, patterns)
+            assert got.columns[-1] == "blocked" and {r.url: r.blocked for r in got.collect()} == want
+        assert blocklist.blocked_by_title(df, ["zz", ""]).filter("not blocked").count() == 0
+        assert blocklist.blocked_by_title(df, table.limit(0)).filter("blocked").count() == 0
+    assert blocklist.blocked_by_title(df, []).filter("blocked").count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_long_blocklist_equals_substring_tests(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(blocklist, "SCAN_MAX_PATTERNS", 0)
+    monkeypatch.setattr(blocklist, "BROADCAST_MAX_BYTES", broadcast)
+    rng = random.Random(3)
+    alphabet = ["a", "b", "ü", "😀", "%", "\n", "'", " ", "Σ"]
+    titles = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(300)] + ["x" * 50_000 + "needle"]
+    patterns = ["".join(rng.choices(alphabet, k=rng.randint(1, 7))) for _ in range(40)] + ["needle", "xxxy", "absent pattern"]
+    df = listing_frame(spark, *[listing(t, url=str(i)) for i, t in enumerate(titles)])
+    got = {r.url: r.blocked for r in blocklist.blocked_by_title(df, patterns).collect()}
+    assert got == {str(i): any(p.lower() in t.lower() for p in patterns) for i, t in enumerate(titles)}
+
+
+def test_patterns_go_by_their_rarest_gram(spark):
+    counts = spark.createDataFrame([("abc", 9), ("bcd", 2), ("cde", 5), ("x", 1)], "gram string, n long")
+    patterns = spark.createDataFrame([("abcde",), ("abcz",), ("x",), ("ab",)], "pattern string")
+    assert {tuple(r) for r in blocklist.rarest_grams(patterns, counts).collect()} == {("abcde", "bcd", 2), ("x", "x", 1)}
 
 
 def test_target_floor(spark):
@@ -141,23 +198,6 @@ def test_target_floor(spark):
     assert {r.url for r in only_targets(df, names).collect()} == {"1", "2", "3", "5"}
 
 
-@pytest.mark.parametrize("phrases", [64, 65])
-def test_row_local_lookup_equals_the_scan(spark, phrases):
-    rng = random.Random(phrases)
-    words = ["a", "ab", "ü", "c++", ".", "x_1", "Dsp", "++"]
-    weights = {}
-    while len(weights) < phrases:
-        weights.setdefault(" ".join(rng.choices(words, k=rng.randint(1, 3))), rng.randint(1, 9))
-    df = listing_frame(spark, *[listing(" ".join(rng.choices(words, k=rng.randint(0, 12))), url=str(i)) for i in range(200)])
-    lexicon = Lexicon.of(lexicon_frame(spark, weights), scan_max=0)
-    text = scoring.search_text("title", "description", "company")
-    looked = df.select("url", text.alias("t")).select("url", scoring.looked_up_hits(F.col("t"), lexicon.constants).alias("h"))
-    got = {r.url: [(h.ord, h.phrase, h.weight) for h in r.h] for r in looked.collect()}
-    scanned = Lexicon.of(lexicon_frame(spark, weights), scan_max=1000)
-    want = {r.url: [(h.ord, h.phrase, h.weight) for h in r.h] for r in df.select("url", text.alias("t")).select("url", scoring.scan_hits("t", scanned.entries).alias("h")).collect()}
-    assert got == want
-
-
 def test_scan_form_has_no_shuffle(spark):
     df = listing_frame(spark, listing("a"))
     plan = score_listings(df, lexicon_frame(spark, defaults.KEYWORD_WEIGHTS), defaults.TITLE_BLOCKLIST)

@@ -6,7 +6,7 @@ from postsieve.operators.scoring import lexicon_frame
 from postsieve.plans import RunConfig
 from postsieve.sources import roster_frame
 from postsieve.store import ListingStore, shared_folder
-from postsieve.streaming import poll, read_landing, score_stream
+from postsieve.streaming import poll, read_landing, score_epochs, score_stream
 from postsieve.streaming.ingest import write_landing
 
 
@@ -56,16 +56,48 @@ def test_scores_in_the_stream(spark, tmp_path):
 
 @pytest.mark.parametrize("phrases,patterns", [(64, 256), (65, 257), (1500, 600)])
 def test_any_lexicon_and_blocklist_stream(spark, tmp_path, phrases, patterns):
-    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    store, landing = ListingStore(spark, str(tmp_path / "store")), str(tmp_path / "landing")
     write_landing(board(spark, "A", "CTO now", "B"), landing)
     weights = {"juce": 6, **{f"zq{i} engineer": 1 for i in range(phrases - 1)}}
     blocked = ["cto", *[f"zz{i}" for i in range(patterns - 1)]]
     long = RunConfig(lexicon_frame(spark, weights), roster_frame(spark, [("Acme", "lever", "acme")]), blocked)
-    scored = score_stream(read_landing(spark, landing), long)
-    writer = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "progress"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out).orderBy("src_pos").collect()
+    score_epochs(read_landing(spark, landing), store, long, "scores", f"{store.root}/progress").awaitTermination()
+    rows = store.read("scored").orderBy("src_pos").collect()
     assert [(r.title, r.score, r.blocked) for r in rows] == [("A", 6, False), ("CTO now", 1, True), ("B", 6, False)]
+    if phrases > 64:
+        with pytest.raises(ValueError, match="stream"):
+            score_stream(read_landing(spark, landing), long)
+
+
+def test_an_epoch_that_runs_again_replaces_its_scores(spark, tmp_path):
+    store, landing = ListingStore(spark, str(tmp_path / "store")), str(tmp_path / "landing")
+    progress = tmp_path / "store" / "progress"
+    for title in ("A", "B"):
+        write_landing(board(spark, title), landing)
+        score_epochs(read_landing(spark, landing), store, config(spark), "scores", str(progress)).awaitTermination()
+    before = sorted(store.read("scored").collect())
+    (last,) = [f for f in (progress / "commits").iterdir() if f.name == "1"]
+    last.unlink()  # as if the query had died after writing and before committing
+    (progress / "commits" / ".1.crc").unlink(missing_ok=True)
+    score_epochs(read_landing(spark, landing), store, config(spark), "scores", str(progress)).awaitTermination()
+    assert sorted(store.read("scored").collect()) == before and len(before) == 2
+
+
+def test_live_polling_sends_each_listing_once(spark, tmp_path):
+    """Several epochs, a restart and packing in between; deliveries go with the epoch."""
+    store, landing = ListingStore(spark, str(tmp_path / "store")), str(tmp_path / "landing")
+    sent = []
+
+    def deliver(rows):
+        sent.extend(r.job_key for r in rows.collect())
+        return rows.select("job_key", F.lit(True).alias("ok"))
+
+    for day in range(5):
+        write_landing(board(spark, "A", f"B{day}"), landing)
+        start(spark, store, landing, deliver=deliver, keep=1)
+    assert len(sent) == len(set(sent)) == 6 == store.read("deliveries").count() == store.read("jobs").count()
+    assert [r.jobs_alerted for r in store.read("runs").orderBy("run_id").collect()] == [2, 1, 1, 1, 1]
+    assert len(store.packs.names()) > 0
 
 
 def test_shared_folder_is_the_sessions(spark):
