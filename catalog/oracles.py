@@ -167,6 +167,19 @@ ORACLES = {
             FROM words JOIN lexicon USING (phrase) GROUP BY 1)
         SELECT doc_id, coalesce(score, 0) AS score, coalesce(keywords, '') AS keywords
         FROM listings LEFT JOIN hits USING (doc_id)""",
+    "score_phrases_shuffled": f"{_ALL_SCORED} SELECT doc_id, score, keywords FROM scored",
+    "score_shared_words": f"""WITH
+        tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '{_NW}+')) AS w FROM benchmark),
+        top AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS r FROM tokens WHERE w <> '' GROUP BY w QUALIFY r < 30),
+        lexicon AS (SELECT a.r * 30 + b.r AS ord, a.w || ' ' || b.w AS phrase FROM top a, top b),
+        {_LISTINGS},
+        texts AS (SELECT doc_id, lower(title || ' ' || description || ' ' || company) AS t FROM listings),
+        spaced AS (SELECT doc_id, unnest(string_split(t, ' ')) AS piece, generate_subscripts(string_split(t, ' '), 1) AS i FROM texts),
+        pairs AS (SELECT DISTINCT a.doc_id, regexp_extract(a.piece, '({_W}+)$', 1) || ' ' || regexp_extract(b.piece, '^({_W}+)', 1) AS phrase
+          FROM spaced a JOIN spaced b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+        hits AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS score, string_agg(phrase, ', ' ORDER BY ord) AS keywords
+          FROM pairs JOIN lexicon USING (phrase) GROUP BY 1)
+        SELECT doc_id, coalesce(score, 0) AS score, coalesce(keywords, '') AS keywords FROM listings LEFT JOIN hits USING (doc_id)""",
     "score_target_floor": f"""{_ALL_SCORED}, {_floored("'fr'")}
         SELECT doc_id, blocked, is_target, score, keywords FROM floored""",
     "target_listings": "SELECT doc_id, lang AS company FROM documents WHERE lower(lang) = 'fr'",
@@ -217,7 +230,8 @@ ORACLES = {
     "zero_yield": """
         SELECT CAST(c_custkey AS INTEGER) AS ord,
                c_name || ' (' || c_mktsegment || '/' || CAST(c_custkey AS VARCHAR) || ')' AS label
-        FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
+        FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
+          WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2000-01-01 00:00:00')""",
     "health_audit": f"WITH {_PROBES} SELECT ord, name, ats, token, status, detail FROM classified",
     "health_tally": f"""WITH {_PROBES}
         SELECT CASE status WHEN 'OK' THEN 'ok' WHEN 'EMPTY' THEN 'empty' ELSE 'broken' END AS bucket,
@@ -248,6 +262,38 @@ ORACLES = {
           WHERE length(p) >= 7),
         hit AS (SELECT DISTINCT doc_id FROM listings JOIN patterns ON contains(lower(title), p))
         SELECT doc_id, doc_id IN (SELECT doc_id FROM hit) AS blocked FROM listings""",
+    "blocklist_pieces": f"""WITH {_LISTINGS},
+        items AS (SELECT lower(text) AS t FROM benchmark),
+        patterns AS (SELECT DISTINCT substr(t, i, 5) AS p FROM (SELECT t, unnest(range(1, length(t) - 3)) AS i FROM items)),
+        titles AS (SELECT DISTINCT lower(title) AS title FROM listings),
+        hit AS (SELECT DISTINCT title FROM titles JOIN patterns ON contains(title, p))
+        SELECT doc_id, lower(title) IN (SELECT title FROM hit) AS blocked FROM listings""",
+    "source_registered": f"""WITH
+        lines AS (SELECT CAST(doc_id AS VARCHAR) AS token, unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS src_pos FROM documents)
+        SELECT 'plain' AS source_kind, 'Plain' AS source, token AS company, token || '#' || CAST(src_pos AS VARCHAR) AS url,
+               md5(line) AS title_md5, src_pos FROM lines WHERE line <> ''
+        UNION ALL SELECT 'wwr', source, company, url, md5(title), src_pos
+        FROM (SELECT * FROM ({_WWR}) POSITIONAL JOIN (SELECT row_number() OVER (PARTITION BY p_partkey // 1024 ORDER BY p_partkey) - 1 AS src_pos, p_partkey FROM part ORDER BY p_partkey))""",
+    "feed_files": """
+        SELECT CASE WHEN p_size < 50 THEN p_name END AS title, CASE WHEN p_size < 50 THEN p_brand END AS company,
+               CASE WHEN p_size < 50 THEN 'https://example.org/part/' || CAST(p_partkey AS VARCHAR) END AS url,
+               CASE WHEN p_size < 50 THEN p_type END AS description, CASE WHEN p_size = 50 THEN 'bad_item' END AS reason,
+               CASE WHEN p_size = 50 THEN '<item><title>' || p_name || '</item>' END AS raw
+        FROM part""",
+    "store_bootstrap": """
+        SELECT what, CASE WHEN what IN ('runs', 'clocks') THEN 1 ELSE (SELECT count(*) FROM part) END AS n
+        FROM (VALUES ('jobs'), ('deliveries'), ('outbox'), ('runs'), ('clocks')) AS t(what)""",
+    "store_packed": f"""WITH {_COLLECTED},
+        batches(kind, b) AS (VALUES ('remoteok', 1), ('greenhouse', 2), ('lever', 3), ('wwr', 4)),
+        keyed AS (SELECT *, {_KEY} AS job_id FROM collected JOIN batches USING (kind)),
+        firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY b, endpoint_ord, place) = 1),
+        {_scored('firsts', 'job_id')},
+        {_floored("SELECT 'company ' || lower(source) FROM documents")}
+        SELECT 'wwr' AS run_id, CAST(row_number() OVER (ORDER BY score, job_id) AS BIGINT) AS seq, job_id, score, kind AS found_by
+        FROM floored WHERE score >= 5""",
+    "stream_live": f"""WITH wwr AS (SELECT title, company, url FROM ({_WWR}))
+        SELECT {_KEY} AS job_id, CAST(1 AS BIGINT) AS sent, CAST(1 AS BIGINT) AS delivered FROM wwr""",
     "store_replay": f"""WITH {_COLLECTED},
         keyed AS (SELECT *, {_KEY} AS job_id FROM collected WHERE kind = 'remoteok'),
         firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rnk, endpoint_ord, place) = 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,17 @@ from postsieve.operators.alerts import alert_payloads
 from postsieve.operators.counts import error_list, error_messages, source_counts
 from postsieve.operators.dedup import first_wins, new_only, with_key
 from postsieve.operators.queue import at_least, number_rows, pending
-from postsieve.operators.scoring import Lexicon, blocked_by_title, score_listings
+from postsieve.operators.blocklist import blocked_by_title, grams
+from postsieve.operators.scoring import Lexicon, score_listings
 from postsieve.operators.targets import apply_target_floor, only_targets
 from postsieve.plans import audit, run_batch
+from postsieve.schemas import RAW_PAYLOAD
 from postsieve.sources import default_registry, first_endpoints, normalise, unsupported, zero_yield
+from postsieve.sources.explode import staged
+from postsieve.sources.feeds import file_payloads
+from postsieve.sources.registry import Source
 from postsieve.store import ListingStore, shared_folder
-from postsieve.streaming.ingest import poll, read_landing, score_stream, write_landing
+from postsieve.streaming.ingest import poll, read_landing, score_epochs, score_stream, write_landing
 
 RUN_TS = datetime(2026, 1, 1, tzinfo=timezone.utc)
 BOARD_COLUMNS = ("token", "title", "company", "location", "url", "source", "description")
@@ -75,6 +81,17 @@ def score_long_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(score_listings(v.listings(spark, sf), v.word_lexicon(spark, sf), key="doc_id"))
 
 
+def score_shared_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexicon of word pairs in which all phrases share their words."""
+    return _scored(score_listings(v.listings(spark, sf), v.pair_lexicon(spark, sf), key="doc_id"))
+
+
+def score_phrases_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The form of a lexicon too large to be broadcast."""
+    shuffled = replace(Lexicon.of(v.lexicon(spark), scan_max=0), fits_broadcast=False)
+    return _scored(score_listings(v.listings(spark, sf), shuffled, v.BLOCKLIST))
+
+
 def score_target_floor(spark: SparkSession, sf: str) -> DataFrame:
     scored = score_listings(v.listings(spark, sf), v.lexicon(spark), v.BLOCKLIST)
     floored = apply_target_floor(scored, v.targets(spark))
@@ -182,7 +199,7 @@ def zero_yield_report(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_mktsegment").alias("ats"),
         F.col("c_custkey").cast("string").alias("token"),
     )
-    orders = v.table(spark, sf, "orders")
+    orders = v.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp'2000-01-01 00:00:00'")
     segment = v.table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("source_kind"))
     found = orders.join(segment, F.col("o_custkey") == F.col("c_custkey")).select(
         "source_kind", F.col("o_custkey").cast("string").alias("token")
@@ -270,6 +287,81 @@ def blocklist_long(spark: SparkSession, sf: str) -> DataFrame:
     return blocked_by_title(v.listings(spark, sf), patterns).select("doc_id", "blocked")
 
 
+def blocklist_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles against every run of five characters of the benchmark items: thousands of
+    patterns, most of them in many titles' words."""
+    pieces = v.table(spark, sf, "benchmark").select(F.explode(grams(F.lower("text"), 5)).alias("pattern"))
+    return blocked_by_title(v.listings(spark, sf), pieces).select("doc_id", "blocked")
+
+
+def source_registered(spark: SparkSession, sf: str) -> DataFrame:
+    """A source of the caller's own, registered beside the others and run with them."""
+
+    def plain_pages(payloads: DataFrame) -> DataFrame:
+        lines = payloads.select(
+            "source_kind", "token", "endpoint", "src_rank", "endpoint_ord", F.lit(None).cast("string").alias("reason"),
+            F.lit(None).cast("string").alias("detail"), F.lit(None).cast("string").alias("_raw"),
+            F.posexplode(F.split("body", "\n")).alias("src_pos", "line"),
+        )
+        link = F.concat_ws("#", "token", "src_pos")
+        nothing = F.lit("")
+        return staged(lines, title=F.col("line"), company=F.col("token"), location=nothing, url=link, source=F.lit("Plain"), description=nothing)
+
+    registry = default_registry().register(Source("plain", plain_pages, 9))
+    values = {"token": F.col("doc_id"), "body": F.col("text"), "source_kind": F.lit("plain")}
+    columns = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_PAYLOAD.fields]
+    own = v.table(spark, sf, "documents").select(*columns)
+    rows = normalise(own.unionByName(v.wwr_payloads(spark, sf)), v.page_roster(spark, sf), registry, kinds=("wwr", "plain"))
+    return rows.select("source_kind", "source", "company", "url", F.md5("title").alias("title_md5"), "src_pos")
+
+
+def feed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed files read as a stream; what cannot be read of them goes to quarantine."""
+    store = _store(spark)
+    path, out = store.path("feeds"), store.path("items")
+    v.broken_feed_files(spark, sf, path)
+    rows = default_registry().apply("wwr", file_payloads(spark, path, "wwr", stream=True))
+    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", store.path("progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select("title", "company", "url", "description", "reason", "raw")
+
+
+def store_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """A store that is created, appended to, and created again."""
+    store = _store(spark)
+    store.bootstrap()
+    run_batch(store, v.wwr_payloads(spark, sf), _config(store, sf), "b1", RUN_TS)
+    store.bootstrap()
+    counted = [store.read(t).select(F.lit(t).alias("what")) for t in ("jobs", "deliveries", "outbox", "runs", "clocks")]
+    return reduce(DataFrame.unionByName, counted).groupBy("what").agg(F.count("*").alias("n"))
+
+
+def store_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches, packed on the way: three are stored, the last one sends all that waits."""
+    store = _store(spark)
+    config = _config(store, sf)
+    for kind, mode in (("remoteok", "summary"), ("greenhouse", "summary"), ("lever", "summary"), ("wwr", "live")):
+        rows = v.wwr_payloads(spark, sf) if kind == "wwr" else v.board_payloads(spark, sf, kind)
+        run_batch(store, rows, config, kind, RUN_TS, mode)
+        store.pack(keep=1, at=2)
+    found = store.read("jobs").select("job_id", F.col("batch_id").alias("found_by"))
+    return store.read("outbox").join(found, "job_id").select("run_id", "seq", "job_id", "score", "found_by")
+
+
+def stream_live(spark: SparkSession, sf: str) -> DataFrame:
+    """A live poll over several epochs, then a restart to which everything is landed again:
+    each listing is sent once. Old epochs are packed on the way."""
+    store = _store(spark)
+    landing, config = store.path("landing"), _config(store, sf)
+    for feeds in ([v.wwr_payloads], [v.wwr_payloads, v.avixa_payloads]):
+        for feed in feeds:
+            write_landing(feed(spark, sf), landing)
+        poll(read_landing(spark, landing, max_files=2), store, config, "live", store.path("progress"), keep=2).awaitTermination()
+    sent = store.read("outbox").groupBy("job_id").agg(F.count("*").alias("sent"))
+    done = store.read("deliveries").groupBy("job_id").agg(F.count("*").alias("delivered"))
+    return sent.join(done, "job_id", "full").select("job_id", "sent", "delivered")
+
+
 def store_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs, then the first one again: its outbox and ledger are as they were."""
     store = _store(spark)
@@ -311,15 +403,12 @@ def quarantine_rows(spark: SparkSession, sf: str) -> DataFrame:
 def stream_scored_long_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """A stream scored against every word of the benchmark items."""
     store = _store(spark)
-    landing, out = store.path("landing"), store.path("scored")
+    landing, path = store.path("landing"), store.path("lexicon")
     write_landing(v.board_payloads(spark, sf, "remoteok"), landing)
-    path = store.path("lexicon")
     v.word_lexicon(spark, sf).write.parquet(path)
     config = replace(_config(store, sf), lexicon=spark.read.parquet(path), blocklist=[])
-    scored = score_stream(read_landing(spark, landing), config)
-    writer = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", store.path("progress"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("job_id", "source", "endpoint_ord", "src_pos", "score")
+    score_epochs(read_landing(spark, landing, max_files=4), store, config, "scores", store.path("progress")).awaitTermination()
+    return store.read("scored").select("job_id", "source", "endpoint_ord", "src_pos", "score")
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -350,7 +439,7 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 def stream_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Payload files scored in the stream and written by a file sink, copies included."""
     store = _store(spark)
-    landing, out = store.path("landing"), store.path("scored")
+    landing, out = store.path("landing"), store.path("scores")
     write_landing(v.all_payloads(spark, sf), landing)
     scored = score_stream(read_landing(spark, landing), _config(store, sf))
     query = (
@@ -373,6 +462,8 @@ QUERIES = {
     "score_phrases": score_phrases,
     "score_phrases_joined": score_phrases_joined,
     "score_long_lexicon": score_long_lexicon,
+    "score_shared_words": score_shared_words,
+    "score_phrases_shuffled": score_phrases_shuffled,
     "score_target_floor": score_target_floor,
     "target_listings": target_listings,
     "tier_label": tier_label,
@@ -400,6 +491,12 @@ QUERIES = {
     "outbox_rows": outbox_rows,
     "run_summary": run_summary,
     "blocklist_long": blocklist_long,
+    "blocklist_pieces": blocklist_pieces,
+    "source_registered": source_registered,
+    "feed_files": feed_files,
+    "store_bootstrap": store_bootstrap,
+    "store_packed": store_packed,
+    "stream_live": stream_live,
     "store_replay": store_replay,
     "run_zero_yield": run_zero_yield,
     "run_source_counts": run_source_counts,

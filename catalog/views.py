@@ -62,6 +62,25 @@ def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pair_lexicon(spark: SparkSession, sf_dir: str, words: int = 30) -> DataFrame:
+    """All pairs of the most frequent words of the benchmark items: every word is in many
+    phrases, so no word tells a phrase."""
+    tokens = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
+    counts = table(spark, sf_dir, "benchmark").select(tokens.alias("w")).filter("w != ''").groupBy("w").count()
+    top = [r.w for r in counts.orderBy(F.desc("count"), "w").limit(words).collect()]
+    return lexicon_frame(spark, {f"{a} {b}": 1 for a in top for b in top})
+
+
+def broken_feed_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Parts as feed files, one item a line; items of the largest size are cut off inside."""
+    part = table(spark, sf_dir, "part")
+    title = F.concat_ws(": ", "p_brand", "p_name")
+    link = F.concat(F.lit("https://example.org/part/"), F.col("p_partkey").cast("string"))
+    good = F.concat(F.lit("<item>"), _tag("title", title), _tag("link", link), _tag("description", F.col("p_type")), F.lit("</item>"))
+    bad = F.concat(F.lit("<item><title>"), F.col("p_name"), F.lit("</item>"))
+    part.select(F.when(F.col("p_size") == 50, bad).otherwise(good).alias("value")).write.text(path)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sightings of the documents, scored and floored, seen one day per source."""
     firsts = first_wins(with_key(listings(spark, sf_dir)))
