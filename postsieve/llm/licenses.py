@@ -92,6 +92,10 @@ def gram_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, drift: int = 2, min_share: float = 0.7) -> DataFrame:
     """Verified spans and a header per text: (doc_id, text_hash, copies, n_words, spans).
 
+    Merged diagonals count the places of the template that stand in the text, each once
+    however many diagonals hold it. Where merged diagonals reach too far to be one copy, the
+    best of them is judged alone.
+
     ``spans``: array of (template, label, base, start, end, share), in words from 0, end
     exclusive. Base phrases need every word; notices ``min_share`` of their grams within
     one and a half times their length. ``known`` is the broadcast side, of bounded size.
@@ -102,8 +106,13 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     hits = found.join(F.broadcast(known), "gram")
     diagonal = F.when(F.col("template") < 0, 0).otherwise(F.col("at") - 1 - F.col("place"))
     # one row per text and diagonal; a header row counts how often the text occurs
+    longest = known.agg(F.max("length")).first()[0] or 0
+    slots = [f"places{i}" for i in range(max(1, -(-longest // 64)))]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)
+    held = [F.bit_or(F.when(F.floor(F.col("place") / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(slots)]
     votes = hits.groupBy("doc_id", "text_hash", "template", diagonal.alias("diagonal")).agg(
         F.count("*").alias("votes"),
+        *held,
         F.min(F.col("at") - 1).alias("lo"),
         F.max(F.col("at") - 1).alias("hi"),
         F.first("n_words").alias("n_words"),
@@ -118,6 +127,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("doc_id", "text_hash", "template", "group")
         .agg(
             F.sum("votes").alias("votes"),
+            F.max(F.struct("votes", "lo", "hi")).alias("best"),
+            *[F.bit_or(c).alias(c) for c in slots],
             F.min("lo").alias("start"),
             (F.max("hi") + k).alias("end"),
             F.first("n_words").alias("n_words"),
@@ -128,10 +139,18 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     )
     texts = W.partitionBy("doc_id", "text_hash")
     judged = merged.withColumn("copies", F.max(F.when(F.col("template") < 0, F.col("votes"))).over(texts))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("copies") / (F.col("length") - k + 1))
-    judged = judged.withColumn("share", F.when(F.col("template") >= 0, share))
-    fits = F.when(F.col("base"), F.col("share") == 1).otherwise((F.col("share") >= min_share) & (F.col("end") - F.col("start") <= 1.5 * F.col("length")))
-    span = F.when(fits, F.struct("template", "label", "base", "start", "end", "share"))
+    whole = F.col("length") - k + 1
+    together = sum((F.bit_count(c) for c in slots), F.lit(0)) / whole
+    alone = F.col("best.votes") / F.col("copies") / whole
+    near = (together >= min_share) & (F.col("end") - F.col("start") <= 1.5 * F.col("length"))
+    merged_span = F.struct("template", "label", "base", "start", "end", together.alias("share"))
+    best_span = F.struct("template", "label", "base", F.col("best.lo").alias("start"), (F.col("best.hi") + k).alias("end"), alone.alias("share"))
+    span = (
+        F.when(F.col("template") < 0, None)
+        .when(F.col("base"), F.when(alone == 1, best_span))
+        .when(near, merged_span)
+        .when(alone >= min_share, best_span)
+    )
     return judged.groupBy("doc_id", "text_hash").agg(
         F.max("copies").alias("copies"),
         F.max("n_words").alias("n_words"),

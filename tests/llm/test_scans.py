@@ -75,6 +75,33 @@ def test_license_base(spark, docs):
     assert found == "apache,apache-2.0"  # one word inserted: two diagonals merge
 
 
+def test_merged_diagonals_count_each_place_once(spark):
+    """Repeated common words do not add up to a notice that is not there."""
+    notice = dict((label, text) for text, label in licenses.NOTICES)
+    lost = notice["mpl-2.0"].split()
+    texts = [
+        "of the " * 12 + "terms of the mozilla public license " + "of the " * 12,
+        notice["mpl-2.0"],
+        " ".join([*lost[:4], "word", *lost[4:]]),
+        "of the " * 40 + notice["mpl-2.0"] + " of the" * 40,
+        " ".join(lost[i] for i in range(len(lost) - 1, -1, -1)),
+        (notice["mpl-2.0"] + " and other words between the copies here ") * 3,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.report(licenses.scan(frame, licenses.templates(spark))).collect()}
+    assert ["mpl-2.0" in (got[i].labels or "").split(",") for i in range(6)] == [False, True, True, True, False, True]
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].score == 1
+
+
+def test_long_templates_count_places_beyond_one_word(spark):
+    words = [f"w{i}" for i in range(200)]
+    known = licenses.templates(spark, notices=[(" ".join(words), "long")])
+    texts = [" ".join(words), " ".join(words[:150]), " ".join(words[:120]), " ".join(words[:100] * 2)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.report(licenses.scan(frame, known)).collect()}
+    assert got == {0: "long", 1: "long", 2: "", 3: ""}
+
+
 def test_license_edges(spark, docs):
     empty = licenses.report(licenses.scan(docs[0].limit(0), licenses.templates(spark)))
     assert empty.count() == 0
