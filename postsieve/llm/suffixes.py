@@ -348,16 +348,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept).
 
     ``kept`` is what remains of the text as bytes. Null and short texts lose nothing; null
-    counts as empty. Rows that repeat an id are told apart by their text; rows that
-    repeat both are copies of each other, so whole windows of them go. Null ids stay.
-    Other columns are not read; an empty table gives an empty result.
+    counts as empty. Every row is a text of its own: where ids repeat or are null, rows are
+    numbered first, and rows that repeat id and text are copies of each other, so whole
+    windows of them go. Null ids stay. Other columns are not read; an empty table gives an
+    empty result.
     """
-    texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"),
-        F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.col(id_col).cast("long").alias("doc_id"),
-    )
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).isEmpty():
+        texts = ids.select(F.col("doc_id").alias("doc"), F.lit(0).alias("mark"), "text", "doc_id")
+    else:
+        texts = cut(ids.select(F.monotonically_increasing_id().alias("doc"), F.lit(0).alias("mark"), "text", "doc_id"))
     plain = texts.select("doc", "mark", "text")
     stretches = repeated_stretches(plain, length, gram, hot)
     per = stretches.groupBy("doc", "mark").agg(F.collect_list(F.struct("low", "high")).alias("stretches"))

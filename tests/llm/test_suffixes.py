@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from postsieve.llm import suffixes
 from postsieve.llm.catalog import QUERIES
@@ -60,6 +61,16 @@ def test_repeated_and_null_ids(spark):
     assert suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).count() == 0
 
 
+def test_equal_short_hashes_under_one_id(spark):
+    """Different texts of one id stay apart even where a 32-bit hash of them agrees."""
+    made = F.concat(F.sha2(F.col("id").cast("string"), 256), F.left(F.sha2(F.hex("id"), 256), F.lit(17)))
+    texts = spark.range(300_000).select(made.alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first()["t"][:2]
+    rows = [(5, pair[0]), (5, pair[1]), (7, "x" + pair[0][:40]), (None, pair[0][20:]), (None, "only here " * 3)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20, gram=6)
+    assert rows_of(got) == sorted((-1 if i is None else i, *r) for (i, _), r in zip(rows, plain([t for _, t in rows], 20), strict=True))
+
+
 def test_queue_spills_and_sorts():
     rng = random.Random(5)
     items = [(rng.randint(0, 50), bytes([rng.randint(0, 255)])) for _ in range(9000)]
