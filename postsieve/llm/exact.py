@@ -46,11 +46,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat one id with different texts are told apart by the text; a repeated
     (id, text) row stays once.
     """
-    judged = keep_last_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
-    judged = cut(judged.groupBy("_keep", "_sha").count())
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    match = keyed[id_col].eqNullSafe(judged["_keep"]) & (keyed["_sha"] == judged["_sha"])
-    kept = keyed.join(judged, match, "left_semi")
-    if not judged.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_sha"])
-    return kept.drop("_sha")
+    judged = keep_last_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("keep"), F.col("text_sha256").alias("sha"))
+    judged = cut(judged.groupBy("keep", "sha").agg(F.count("*").alias("n")))
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
+    kept = rows.join(judged, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("sha")), "left_semi")
+    if not judged.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "digest"])
+    return kept.select("row.*")

@@ -150,23 +150,25 @@ def mix_sources(
     """
     parts = exact(weights) if period is None else shares_of(weights, period)
     spark = docs.sparkSession
-    rows = docs.drop(*NEW)
     order = F.xxhash64(F.lit("mix"), id_col)
-    # the bin follows the hash's order, so bins in turn are the source in turn
-    rows = rows.withColumns({"_s": F.coalesce(F.col(source_col), F.lit("")), "_h": order, "_bin": F.floor((order / 2.0**64 + 0.5) * bins).cast("int")})
+    # the caller's columns travel in one, whatever their names; the bin follows the hash's
+    # order, so bins in turn are the source in turn
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in NEW]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_s"), order.alias("_h"))
+    rows = rows.withColumn("_bin", F.floor((F.col("_h") / 2.0**64 + 0.5) * bins).cast("int"))
     sizes = rows.groupBy("_s", "_bin").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = cut(sizes.withColumn("_before", before))  # at most ``bins`` rows a source
     counts = {r["_s"]: r["n"] for r in sizes.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}
     blocks, n = dealt_blocks(spark, parts, counts, block_rows)
-    place = F.row_number().over(W.partitionBy("_s", "_bin").orderBy("_h", id_col)) - 1
+    place = F.row_number().over(W.partitionBy("_s", "_bin").orderBy("_h", "_id")) - 1
     numbered = rows.withColumn("_at", place).join(F.broadcast(sizes) if len(counts) * bins <= 1_000_000 else sizes, ["_s", "_bin"])
     at = F.col("_before") + F.col("_at")
     numbered = numbered.withColumns({"_block": F.floor(at / block_rows), "mix_place": (at % block_rows).cast("int")})
     numbered = numbered.join(F.broadcast(blocks) if n <= BROADCAST_BLOCKS else blocks, ["_s", "_block"], "left")
     missing = F.raise_error(F.concat(F.lit("no weight for source "), "_s")).cast("long")
     numbered = numbered.withColumn("mix_slot", F.coalesce("mix_slot", missing))
-    return numbered.select(*[c for c in docs.columns if c not in NEW], *NEW)
+    return numbered.select("_row.*", *NEW)
 
 
 def in_mixed_order(spark: SparkSession, mixed: DataFrame) -> DataFrame:
