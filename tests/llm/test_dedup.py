@@ -164,16 +164,16 @@ def test_vector_query(spark):
 # shingles
 
 
-def plain_sets(rows):
+def plain_sets(rows, k=4):
     out = []
     for i, t in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        out.append((i, {tuple(words[j : j + 4]) for j in range(max(1, len(words) - 3))} if words else set()))
+        out.append((i, {tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1))} if words else set()))
     return out
 
 
-def brute_documents(rows):
-    sets = plain_sets(rows)
+def brute_documents(rows, k=4, percent=85):
+    sets = plain_sets(rows, k)
     lists, pairs = defaultdict(list), []
     for p, (i, s) in enumerate(sets):
         common_to = defaultdict(int)
@@ -181,7 +181,7 @@ def brute_documents(rows):
             for q in lists[g]:
                 common_to[q] += 1
             lists[g].append(p)
-        pairs += [(i, sets[q][0]) for q, o in common_to.items() if None not in (i, sets[q][0]) and 100 * o >= 85 * (len(s) + len(sets[q][1]) - o)]
+        pairs += [(i, sets[q][0]) for q, o in common_to.items() if None not in (i, sets[q][0]) and 100 * o >= percent * (len(s) + len(sets[q][1]) - o)]
     parts = roots([i for i, _ in rows if i is not None], pairs)
     return sorted(((-1 if i is None else i), len(s), -1 if i is None else parts[i]) for i, s in sets)
 

@@ -20,7 +20,7 @@ def plain_after(rows, scores):
     for i, t in mild:
         last[t or ""] = max(last[t or ""], i)
     single = [(i, t) for i, t in mild if last[t or ""] == i]
-    near = {i for i, _, part in brute_documents(single) if part == i}
+    near = {i for i, _, part in brute_documents(single, cp.NEAR_WORDS, cp.NEAR_PERCENT) if part == i}
     return {i for i, _ in mild}, {i for i, _ in single}, near
 
 
@@ -47,6 +47,32 @@ def test_near_copies_at_five_words(spark):
     assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()) == [1, 3]
 
 
+def test_near_copies_under_repeated_and_null_ids(spark):
+    """An unrelated text stays though its id belongs to a near copy too."""
+    words = [f"w{i}" for i in range(60)]
+    copy = [*words[:59], "x"]
+    other = [f"o{i}" for i in range(60)]
+    rows = [(3, words), (5, copy), (5, other), (None, [f"n{i}" for i in range(60)]), (None, [*[f"n{i}" for i in range(59)], "y"]), (7, other), (8, None)]
+    rows = [(i, None if t is None else " ".join(t), "en", "a", n) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_dedup(spark, docs.repartition(4), SF).collect()
+    assert {r.n_chars for r in kept} in ({0, 2, 3, 6}, {0, 2, 4, 6}) and len(kept) == 4
+
+
+def test_stages_keep_the_callers_columns(spark):
+    clashes = ["row", "_row", "_s", "_h", "_bin", "_n", "_before", "_at", "_block", "_sha", "sha", "_toxic", "score", "id", "at", "version", "digest", "keep"]
+    rows = [(i, f"text {i}", "en", "ab"[i % 2], i, *[f"{c}{i}" for c in clashes]) for i in range(40)] + [(3, "text 3", "en", "a", 3, *["again"] * len(clashes))]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashes)
+    docs = spark.createDataFrame(rows, kinds)
+    for stage in (cp.reject_toxic, cp.exact_dedup, cp.near_dedup, cp.mix):
+        out = stage(spark, docs, SF)
+        got = out.filter("doc_id <> 3").collect()
+        assert out.columns == docs.columns and {r.doc_id for r in got} >= set(range(4, 40))
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in clashes)
+    mixed = mixing.mix_sources(docs, {"a": 1.0, "b": 1.0}).filter("doc_id <> 3").collect()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in mixed for c in clashes)
+
+
 def test_run(spark):
     out = cp.run(spark, SF).toPandas()
     texts = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
