@@ -20,12 +20,14 @@ MIX_POWER = 0.7
 # Near copies share this percentage of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 BROADCAST_IDS = 1_000_000
+PARTS = 256  # of rows that share one id and source
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the cut go; the model is fitted on labelled rows."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model, score_col="_toxic").filter(F.col("_toxic") < toxicity.CUT).drop("_toxic")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return toxicity.with_scores(rows, model).filter(F.col("score") < toxicity.CUT).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +36,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that 5-word shingles link, the one with the smallest id stays."""
-    linked = jaccard.join_documents(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = cut(linked.filter("doc_id <> component_id").select("doc_id").distinct())
+    """Of documents that 5-word shingles link, the one with the smallest id stays.
+
+    Each row is a document of its own: where ids repeat or are null, rows are compared under
+    numbers in the order of their ids, null first, so that a row never goes for what another
+    row of its id says. Rows without words stay. An empty table stays empty.
+    """
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
+    if odd.isEmpty():
+        rows = docs.select(F.struct("*").alias("row"), "text", F.col("doc_id").cast("long").alias("at"))
+    else:
+        told = docs.select(F.struct("*").alias("row"), "text", "doc_id", F.xxhash64("text").alias("version"))
+        sorted_rows = told.repartitionByRange("doc_id", "version").sortWithinPartitions("doc_id", "version")
+        rows = cut(sorted_rows.select("row", "text", F.monotonically_increasing_id().alias("at")))
+    linked = jaccard.join_documents(rows, id_col="at", k=NEAR_WORDS, percent=NEAR_PERCENT)
+    gone = cut(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("at")))
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(few, "at", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,21 +65,44 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def placed(docs: DataFrame) -> DataFrame:
     """``docs`` with mix_slot and mix_place. Ids and sources alone are numbered and then
-    joined; only rows that repeat an id of their source are regrouped with their texts."""
+    joined. Rows that share id and source have no order of their own: each gets one of the
+    places that belong to them, dealt by a count within each part of the rows and the place
+    where that part's count begins, so that no task holds them all."""
     weights = mixing.proportional(docs, power=MIX_POWER)
     if not weights:
         return docs.withColumns({"mix_slot": F.lit(None).cast("long"), "mix_place": F.lit(None).cast("int")})
     numbered = mixing.mix_sources(docs.select("doc_id", "source"), weights)
-    key = [F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_of")]
-    places = cut(numbered.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("mix_slot", "mix_place"))).alias("_places")))
-    few = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
-    rows = docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_of")))
-    out = rows.filter(F.size("_places") == 1).withColumn("_nth", F.lit(1))
-    if not places.filter(F.size("_places") > 1).isEmpty():
-        nth = F.row_number().over(W.partitionBy("_id", "_of").orderBy("n_chars"))
-        out = out.union(rows.filter(F.size("_places") > 1).withColumn("_nth", nth))
-    place = F.element_at("_places", F.col("_nth"))
-    return out.select(*docs.columns, place["mix_slot"].alias("mix_slot"), place["mix_place"].alias("mix_place"))
+    source = F.coalesce("source", F.lit(""))
+    places = cut(numbered.select(F.col("doc_id").alias("id"), source.alias("of"), "mix_slot", "mix_place"))
+    own = [c for c in docs.columns if c not in ("mix_slot", "mix_place")]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("row_id"), source.alias("row_of"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_of") == F.col("of"))
+    repeated = cut(places.groupBy("id", "of").count().filter("count > 1 or id is null").select("id", "of"))
+    if repeated.isEmpty():
+        few = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
+        return rows.join(few, same).select("row.*", "mix_slot", "mix_place")
+    again = repeated.withColumnsRenamed({"id": "again_id", "of": "again_of"})
+    is_again = lambda i, o: F.col(i).eqNullSafe(F.col("again_id")) & (F.col(o) == F.col("again_of"))
+    single = rows.join(again, is_again("row_id", "row_of"), "left_anti").join(places, same).select("row.*", "mix_slot", "mix_place")
+    left = _counted(rows.join(again, is_again("row_id", "row_of"), "left_semi"), "row_id", "row_of")
+    right = _counted(places.join(again, is_again("id", "of"), "left_semi"), "id", "of")
+    right = right.withColumnRenamed("nth", "mth")
+    dealt = left.join(right, same & (F.col("nth") == F.col("mth"))).select("row.*", "mix_slot", "mix_place")
+    return single.union(dealt)
+
+
+def _counted(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with ``nth``, from 1 within each key, which may be null: rows are counted in
+    parts by a number of their own, and each part begins where the parts before it end."""
+    rows = cut(rows.withColumn("own", F.monotonically_increasing_id())).withColumn("part", F.pmod(F.xxhash64("own"), F.lit(PARTS)))
+    sizes = rows.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("part").alias("part_"), before.alias("before"))
+    within = F.row_number().over(W.partitionBy(*key, "part").orderBy("own"))
+    same = (F.col("part") == F.col("part_")) & F.col(f"{key[0]}_").eqNullSafe(F.col(key[0])) & (F.col(f"{key[1]}_") == F.col(key[1]))
+    return rows.withColumn("within", within).join(begins, same).withColumn("nth", F.col("within") + F.col("before")).drop(
+        "own", "part", "part_", "within", "before", *[f"{k}_" for k in key]
+    )
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
