@@ -31,6 +31,12 @@ def _located(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, independent of any working folder."""
+    files, at = _located(spark, path)
+    return files.makeQualified(at).toString()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder, in order; nothing where there is no folder."""
     files, at = _located(spark, path)

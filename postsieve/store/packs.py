@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsieve.store.folders import children, mark, remove
+from postsieve.store.folders import children, mark, qualified, remove
 
 MAX_PACKS = 8  # more are merged into one
 
@@ -39,7 +39,7 @@ class Packs:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = f"{root}/packs"
+        self.root = qualified(spark, f"{root}/packs")
 
     def names(self) -> list[str]:
         """Complete packs in order of age, those merged into another left out."""
@@ -103,6 +103,8 @@ class Packs:
         names = self.names()
         for what in (*tables, "keys"):
             for old in set(children(self.spark, f"{self.root}/{what}")) - set(names):
+                if what == "keys":
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self._table(old)}")
                 remove(self.spark, self.path(what, old))
         for old in set(children(self.spark, f"{self.root}/pending")) - set(names[-1:]):
             remove(self.spark, self.path("pending", old))

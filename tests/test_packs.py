@@ -112,6 +112,15 @@ def test_the_queue_reads_the_snapshot_and_what_lies_apart(spark, tmp_path, confi
     assert [r.title for r in store.queue(1)[0].collect()] == ["plain"] and run(store, config, 5, "t5").jobs_alerted == 1
 
 
+def test_keys_are_found_by_a_session_that_did_not_write_them(spark, tmp_path, config):
+    store = ListingStore(spark, str(tmp_path))
+    run(store, config, 0, "t0", "t1", mode="summary")
+    store.pack(keep=0)
+    spark.sql(f"DROP TABLE {store.packs._table(store.packs.names()[0])}")  # as a new catalog has none
+    again = ListingStore(spark, str(tmp_path))
+    assert run(again, config, 1, "t0", "t2", mode="summary").jobs_new == 1
+
+
 def test_files_stay_few(spark, tmp_path, config):
     store = ListingStore(spark, str(tmp_path))
     files = []
