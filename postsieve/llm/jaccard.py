@@ -2,27 +2,33 @@
 
 Documents are sets of word shingles. Equal sets form one record. Two records that reach
 the threshold share a shingle among their rarest ones (shingles of long lists come last in
-the order, by their counts; the others follow the hash), so short inverted lists of those name the
-candidates. Blocks of candidates then meet a query record in a T-occurrence search over
-inverted lists of all shingles: the long lists are set apart, the short ones are merged
-with a heap, and the long ones probed by binary search (DivideSkip).
+the order, by their counts; the others follow the hash), their heads. Short inverted lists
+of head shingles name candidates in a join. A long list is cut into blocks, and every block
+is searched for records whose heads share as many shingles as their sizes ask for: the
+longest lists of a block are set apart, the short ones merged with a heap, and the long ones
+probed by binary search (DivideSkip). The same search over all shingles settles candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import byte_pieces, components, cut, mix
 from postsieve.llm.words import GRAM_STEP, SPACED, grams, split_words
+from postsieve.operators.skew import look_up
 
 WORDS, PERCENT = 4, 85
 LONG_LIST = 6
@@ -32,6 +38,9 @@ STEP_BYTES = 1 << 20
 BLOCK = 256
 HEAVY_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
+PAIRED_LIST = 32  # records of a list that meet in a join; longer lists are searched in blocks
+LIST_RECORDS, LIST_SHINGLES = 1024, 1 << 18  # of a block, about
+SIZE_STEP = math.log(1.04)
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -142,11 +151,122 @@ def search(query: np.ndarray, records: list[np.ndarray], percent: int = PERCENT)
     return sorted(divide_skip(lists, need, short))
 
 
+class HeadLists:
+    """Inverted lists over the heads of some records, apart for sizes that lie close together."""
+
+    def __init__(self, sizes: list[int], heads: list[list[int]], percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.classes: dict[int, dict[int, list[int]]] = {}
+        self.ranges: dict[int, tuple[int, int]] = {}
+        for i, (n, head) in enumerate(zip(sizes, heads, strict=True)):
+            of = int(math.log(n) / SIZE_STEP)
+            low, high = self.ranges.get(of, (n, n))
+            self.ranges[of] = min(low, n), max(high, n)
+            lists = self.classes.setdefault(of, {})
+            for token in head:
+                lists.setdefault(token, []).append(i)
+
+    def needed(self, n: int, m: int) -> int:
+        """How many head shingles sets of n and m share at least if they reach the threshold:
+        what lies behind both heads adds at most the longer rest."""
+        both = -(-self.percent * (n + m) // (100 + self.percent))
+        return max(both - needed(max(n, m), self.percent) + 1, 1)
+
+    def partners(self, n: int, head: list[int]) -> list[int]:
+        """The records that may reach the threshold with a set of n, by their heads."""
+        found = []
+        for of, inverted in self.classes.items():
+            low, high = self.ranges[of]
+            if 100 * min(n, high) < self.percent * max(n, low):
+                continue
+            lists = [inverted[t] for t in head if t in inverted]
+            # the need rises up to size n and falls behind it, but for rounding
+            least = max(min(self.needed(n, low), self.needed(n, high)) - 1, 1)
+            if len(lists) >= least:
+                found += divide_skip(lists, _Needs(self, n), len(lists) - least + 1)
+        return found
+
+
+class _Needs:
+    """The need of each record of ``lists`` with a set of n."""
+
+    def __init__(self, lists: HeadLists, n: int):
+        self.lists, self.n = lists, n
+
+    def __getitem__(self, i: int) -> int:
+        return self.lists.needed(self.n, self.lists.sizes[i])
+
+
+Head = tuple[int, int, int, list[int]]  # id, set size, component, head
+
+
+def across(left: list[Head], right: list[Head] | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (a, b), a < b, of different components that their heads allow to link, one of
+    each block; of the same block where ``right`` is None. As one of a pair lies outside the
+    most frequent component, only such records are searched for."""
+    usual = Counter(part for side in (left, right or []) for _, _, part, _ in side).most_common(1)[0][0]
+    for asked, index, again in [(left, left, False)] if right is None else [(left, right, False), (right, left, True)]:
+        if all(part == usual for _, _, part, _ in asked):
+            continue
+        lists = HeadLists([n for _, n, _, _ in index], [head for *_, head in index], percent)
+        for rep, n, part, head in asked:
+            if part == usual:
+                continue
+            for i in lists.partners(n, head):
+                other, _, of, _ = index[i]
+                # a pair that is asked for from both ends counts once
+                if of != part and (of == usual or not again and (right is not None or rep < other)):
+                    yield min(rep, other), max(rep, other)
+
+
+def search_long_lists(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (token, blocks, rep, n, part, head) that share a token, lie
+    in different components and may link by their whole heads; a pair may come repeatedly.
+
+    Every list is dealt into its ``blocks``, and any two of them meet in a cell of their own.
+    """
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select(
+        "token",
+        F.least("block", "with").alias("low"),
+        F.greatest("block", "with").alias("high"),
+        (F.col("block") > F.col("with")).cast("int").alias("side"),
+        "rep",
+        "n",
+        "part",
+        "head",
+    )
+    cell = ["token", "low", "high"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, sides = None, ([], [])
+
+        def finish():
+            if key[1] < key[2] and not all(sides):
+                return
+            pairs = across(sides[0], sides[1] if key[1] < key[2] else None, percent)
+            while some := list(islice(pairs, 50_000)):
+                yield pd.DataFrame(some, columns=["a", "b"], dtype="int64")
+
+        for frame in frames:
+            for token, low, high, side, rep, n, part, head in frame.itertuples(index=False, name=None):
+                if (token, low, high) != key:
+                    if key is not None:
+                        yield from finish()
+                    key, sides = (token, low, high), ([], [])
+                sides[side].append((rep, n, part, head.tolist()))
+        if key is not None:
+            yield from finish()
+
+    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(run, "a long, b long")
+
+
 RECORDS = "doc_id long, n_shingles long, digest binary, head array<long>"
 
 
-def record_rows(docs: DataFrame, order: Order, k: int, percent: int) -> DataFrame:
-    """RECORDS of each row: set size, digest of the set, and its head."""
+def record_rows(docs: DataFrame, shared: Broadcast, k: int, percent: int) -> DataFrame:
+    """RECORDS of each row: set size, digest of the set, and its head in the ``shared`` order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +284,6 @@ def record_rows(docs: DataFrame, order: Order, k: int, percent: int) -> DataFram
                     names=["doc_id", "n_shingles", "digest", "head"],
                 )
 
-    shared = docs.sparkSession.sparkContext.broadcast(order)
     return docs.mapInArrow(run, RECORDS)
 
 
@@ -271,14 +390,18 @@ def join_documents(
     every list are first compared with its smallest and its largest id, then the lists
     that still hold several components give all pairs of different components. A group
     of near copies is one component after the first round and sends no pairs in the
-    second. Pairs that share too few head shingles for their sizes are not compared.
+    second. Lists of more than PAIRED_LIST records form no pairs but are searched, block by
+    block, for those whose heads share enough. Pairs that share too few head shingles for
+    their sizes are not compared.
 
     Null and empty texts, and texts without words, have no shingles and link with
     nothing; so do rows without an id. Rows that repeat an id are one document with
     several texts: any of them may link it. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(record_rows(docs, long_lists(docs, k, percent, long_list), k, percent))
+    shared = docs.sparkSession.sparkContext.broadcast(long_lists(docs, k, percent, long_list))
+    rows = cut(record_rows(docs, shared, k, percent))
+    shared.destroy()
     able = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(able.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     repeated = not able.groupBy("doc_id").count().filter("count > 1").isEmpty()
@@ -315,11 +438,17 @@ def join_documents(
 
     known = live.select("token", "rep", "n", "at").join(stars.withColumnsRenamed({"child": "rep"}), "rep", "left")
     known = cut(known.select("token", "rep", "n", "at", F.coalesce("parent", "rep").alias("part")))
-    mixed = cut(known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token"))
-    left = cut(known.join(mixed, "token"))
-    right = left.select(F.col("token").alias("t"), F.col("rep").alias("r"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("p"))
+    heads = F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    blocks = F.greatest(F.ceil(F.col("held") / LIST_RECORDS), F.ceil(F.col("heads") / LIST_SHINGLES)).cast("int")
+    mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("held"), heads.alias("heads"))
+    mixed = mixed.filter("low < high").select("token", "held", F.when(F.col("held") > PAIRED_LIST, blocks).otherwise(0).alias("blocks"))
+    left = cut(look_up(known, cut(mixed), ["token"], "held"))
+    few = left.filter("blocks = 0")
+    right = few.select(F.col("token").alias("t"), F.col("rep").alias("r"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("p"))
     cross = (F.col("token") == F.col("t")) & (F.col("part") < F.col("p")) & (around >= need)
-    more = able_to_link(left.join(right, cross).select("rep", "n", "r", "m"))
+    more = able_to_link(few.join(right, cross).select("rep", "n", "r", "m"))
+    many = left.filter("blocks > 0").drop("at").join(first.select("rep", "head"), "rep")
+    more = more.union(search_long_lists(many, percent)).distinct()
     more = cut(more.join(tested, ["a", "b"], "left_anti"))
     links = links.union(verified(more, docs, k, percent, repeated))
     stars = components(links)

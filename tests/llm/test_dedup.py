@@ -214,6 +214,42 @@ def test_documents_edges(spark):
     assert jaccard.join_documents(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_long_lists_are_searched_in_blocks(spark, monkeypatch, k, percent):
+    """A group of which most pairs miss the threshold, cut into blocks of a few records."""
+    monkeypatch.setattr(jaccard, "PAIRED_LIST", 6)
+    monkeypatch.setattr(jaccard, "LIST_RECORDS", 25)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        text = base[: rng.choice([150, 150, 150, 140, 125])].copy()
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 6])):
+            text[rng.randrange(len(text))] = f"v{rng.randrange(60)}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = jaccard.join_documents(frame, k=k, percent=percent)
+    want = brute_documents(rows, k, percent)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == want
+    assert 10 < len({part for _, _, part in want}) < 230
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_across_finds_every_link(percent):
+    rng = random.Random(percent)
+    for _ in range(60):
+        base = rng.sample(range(1000), rng.choice([3, 12, 40]))
+        sets = [np.unique(np.array([x for x in base if rng.random() < 0.93] + rng.sample(range(1000), rng.randint(1, 4)), np.uint64)) for _ in range(24)]
+        order = jaccard.Order(np.array(base[:2], np.uint64), np.array([9, 7]))
+        rows = [(i, len(s), rng.randrange(3), order.head(s, percent).tolist()) for i, s in enumerate(sets)]
+        link = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+        want = {(i, j) for i in range(24) for j in range(i + 1, 24) if rows[i][2] != rows[j][2] and link(i, j)}
+        whole, (left, right) = list(jaccard.across(rows, None, percent)), (rows[::2], rows[1::2])
+        split = [p for some in ((left, None), (right, None), (left, right)) for p in jaccard.across(*some, percent)]
+        for got in (whole, split):
+            assert len(got) == len(set(got)) and want <= set(got) and all(a < b and rows[a][2] != rows[b][2] for a, b in got)
+
+
 def test_divide_skip_counts():
     rng = random.Random(8)
     for _ in range(200):
