@@ -22,7 +22,7 @@ from postsieve.llm.common import mix, pieces
 SIZES = (3, 4, 5)
 BUCKET_BITS = 17
 DIMENSIONS = 12
-EPOCHS = 8
+EPOCHS, MOST_EPOCHS = 8, 32
 RATE = 0.25
 SAMPLE = 4_500  # labelled texts used for training, at most; a third toxic
 NEUTRAL = 10  # n-grams without any weight that every average starts from, for short texts
@@ -93,8 +93,10 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, see
     squares = np.full(size, 1e-8, np.float32)
     softmax = rng.normal(0, 0.5, (2, DIMENSIONS)).astype(np.float32)
     bias, softmax_squares = np.zeros(2, np.float32), np.full((2, DIMENSIONS), 1e-4, np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    # fewer texts are passed more often, for the same number of steps
+    epochs = min(MOST_EPOCHS, max(EPOCHS, -(-EPOCHS * SAMPLE // max(len(labels), 1))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for i in rng.permutation(len(labels)):
             found, counts = features[i]
             if not len(found):
@@ -135,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     are enough), chosen by a hash of their ids among those not held out.
 
     Labels that are null or belong to no document are left out; of several labels of one
-    document the largest counts. Features are counted where the texts lie; a text sends
-    one number per distinct bucket, so the driver gets a bounded amount.
+    document the largest counts, and of several texts of one document the smallest. Features
+    are counted where the texts lie; a text sends two numbers per distinct bucket.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -145,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [known.filter(F.col("toxic") == y).orderBy(order).limit(n) for y, n in share.items()]
     picked = chosen[0].union(chosen[1])  # at most ``sample`` rows of two numbers: fit to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

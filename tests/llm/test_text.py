@@ -153,6 +153,30 @@ def test_no_labels(spark):
     assert toxicity.judge(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+def test_toxicity_query_on_held_out_labels(spark):
+    """The registered query over whole tables: ids, folds, cuts, and labels it never saw."""
+    folder = "/root/testdata/sf0.1"
+    ids = pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id"]).doc_id
+    got = QUERIES["op5_toxicity"](spark, folder).toPandas().set_index("doc_id")
+    assert sorted(got.index) == sorted(ids)
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.index]).all()
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
+    known = pd.read_parquet(f"{folder}/labels.parquet").set_index("doc_id").join(got, how="inner")
+    unseen = known[known.held_out]
+    toxic, clean = unseen[unseen.toxic == 1], unseen[unseen.toxic == 0]
+    auc = np.mean([(s > clean.score).mean() for s in toxic.score])
+    assert len(toxic) > 100 and auc >= 0.93 and clean.predicted.mean() <= 0.03 and toxic.predicted.mean() >= 0.5
+
+
+def test_toxicity_sends_one_text_per_document(spark, monkeypatch):
+    rows = [(1, f"vile slur number {i}") for i in range(500)] + [(2, "a kind word"), (2, None)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda features, labels: seen.append((len(features), labels.tolist())))
+    chosen = [i for i in (1, 2) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert seen == [(len(chosen), [2 - i for i in chosen])]
+
+
 def test_scores_do_not_depend_on_the_batch():
     rng = np.random.default_rng(1)
     model = toxicity.Model(rng.normal(size=1 << toxicity.BUCKET_BITS), 0.1)
