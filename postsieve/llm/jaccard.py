@@ -34,7 +34,7 @@ WORDS, PERCENT = 4, 85
 LONG_LIST = 6
 LOCAL_LIST = 2  # occurrences in one piece of the input that make a shingle worth counting
 PIECE_BYTES = 8 << 20
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 BLOCK = 256
 HEAVY_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000

@@ -27,6 +27,7 @@ RATE = 0.25
 SAMPLE = 4_500  # labelled texts used for training, at most; a third toxic
 NEUTRAL = 10  # n-grams without any weight that every average starts from, for short texts
 CUT = 0.7
+PIECE_CHARS = 250_000  # of texts scored at once
 STEP = np.uint64(0xA0761D6478BD642F)
 _EDGE = np.uint64(1)
 
@@ -183,7 +184,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
         import pandas as pd
 
         plain = [t or "" for t in texts]
-        parts = [shared.value.scores(plain[s]) for s in pieces(np.array([len(t) for t in plain]), 1_000_000)]
+        parts = [shared.value.scores(plain[s]) for s in pieces(np.array([len(t) for t in plain]), PIECE_CHARS)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return kept.withColumn(score_col, score(text_col))
