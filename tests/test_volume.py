@@ -39,3 +39,20 @@ def test_descriptions_of_a_batch_move_once_and_no_longer_than_stored(spark):
 def test_documents_are_brought_together_once_for_all_boards(spark):
     plan = plan_of(v.board_payloads(spark, SF, *v.BOARDS))
     assert plan.count("Exchange") == 1
+
+
+def test_a_shuffled_lexicon_meets_only_what_may_be_its_keys(spark):
+    from dataclasses import replace
+
+    from postsieve.operators import scoring
+
+    texts = [(1, "red fox and a red fox in red"), (2, "the blue fox ran -- off"), (3, ""), (4, "fox")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    phrases = {"red fox": 1, "a red fox in": 2, "fox": 3, " -- ": 4, "in red sea": 5}
+    lexicon = replace(scoring.Lexicon.of(lexicon_frame(spark, phrases), scan_max=0), fits_broadcast=False)
+    held = scoring._held(rows, "doc_id", lexicon).distinct().collect()
+    keys = {r.gram for r in lexicon.table.collect()}
+    want = {(r.doc_id, r.gram) for r in scoring.text_grams(rows, "doc_id", lexicon.sizes).collect() if r.gram in keys}
+    assert {tuple(r) for r in held} == want and len(want) == 6
+    found = {r.doc_id: {c.phrase for c in r.candidates} for r in scoring.candidates(rows, "doc_id", lexicon).collect()}
+    assert found == {1: {"red fox", "a red fox in", "fox"}, 2: {"fox", " -- "}, 4: {"fox"}}
