@@ -56,3 +56,17 @@ def test_a_shuffled_lexicon_meets_only_what_may_be_its_keys(spark):
     assert {tuple(r) for r in held} == want and len(want) == 6
     found = {r.doc_id: {c.phrase for c in r.candidates} for r in scoring.candidates(rows, "doc_id", lexicon).collect()}
     assert found == {1: {"red fox", "a red fox in", "fox"}, 2: {"fox", " -- "}, 4: {"fox"}}
+
+
+def test_many_keys_are_not_sent_through_the_driver(spark):
+    from postsieve.operators.dedup import new_only
+
+    keys = lambda lo, hi: spark.range(lo, hi).selectExpr("sha1(cast(id as string)) as job_key")
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many, few = (new_only(keys(0, 100), keys(50, 200), rows) for rows in (500_000, 100_000))
+        assert "BroadcastHashJoin" not in plan_of(many) and "BroadcastHashJoin" in plan_of(few)
+        assert many.count() == few.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
