@@ -102,3 +102,19 @@ def test_live_polling_sends_each_listing_once(spark, tmp_path):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_a_compacted_landing_follows_its_size_and_not_its_tasks(spark, tmp_path):
+    """Sixteen tasks land two kinds: a file each, with all rows, and no more on a second day."""
+    landing, plain = tmp_path / "landing", tmp_path / "plain"
+    boards = board(spark, "A").unionByName(payload_frame(spark, payload("remote ok/=", [], None)))
+    rows = boards.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(64)))).repartition(16, "n").drop("n")
+    for _ in range(2):
+        write_landing(rows, str(landing), compact=True)
+        write_landing(rows, str(plain))
+    files = lambda folder: len(list(folder.rglob("*.parquet")))
+    assert files(landing) == 4 < files(plain)
+    assert [f.name for f in sorted(landing.glob("*="))] == [f.name for f in sorted(plain.glob("*="))]
+    stored = [sorted(map(str, spark.read.parquet(str(f)).collect())) for f in (landing, plain)]
+    assert stored[0] == stored[1] and len(stored[0]) == 256
+    assert not list((tmp_path / "landing-scattered").iterdir())
