@@ -1,5 +1,6 @@
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,24 @@ def test_broadcast_needs_a_proven_size(spark):
     hinted = lambda d: "strategy=broadcast" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, 1000))
     assert len(at_most(df, 100)) == 100 and at_most(df, 99) is None
+
+
+def test_a_shuffled_lexicon_moves_no_text_to_find_candidates(spark):
+    """Copies collapse as keys and grams; wide rows are neither grouped nor sorted."""
+    rows = [listing("of the day", description=f"b {i % 3}", url=str(i), pos=i) for i in range(60)]
+    df = listing_frame(spark, *rows)
+    lexicon = replace(Lexicon.of(lexicon_frame(spark, {"of the": 7, "the day b": 2}), scan_max=0), fits_broadcast=False)
+    scored = score_listings(df, lexicon)
+    assert [(r["score"], r["count"]) for r in scored.groupBy("score").count().collect()] == [(9, 60)]
+    moved = []
+    held = scoring._held
+
+    def seen(texts, key, lexicon):
+        moved.append(texts._jdf.queryExecution().executedPlan().toString())
+        return held(texts, key, lexicon)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(scoring, "_held", seen)
+        plan = score_listings(df, lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert len(moved) == 1 and "Aggregate" not in moved[0] and "Exchange" not in moved[0]
+    assert "ShuffledHashJoin [_key" in plan and "SortMergeJoin [_key" not in plan
