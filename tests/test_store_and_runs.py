@@ -9,7 +9,7 @@ from postsieve.operators.alerts import alert_payloads, summary_payload
 from postsieve.operators.dedup import first_wins, new_only, with_key
 from postsieve.operators.queue import at_least, number_rows, pending
 from postsieve.operators.scoring import lexicon_frame
-from postsieve.plans import RunConfig, new_listings, run_batch
+from postsieve.plans import RunConfig, new_listings, polling, run_batch
 from postsieve.schemas import RUNS
 from postsieve.sources import roster_frame
 from postsieve.store import ListingStore
@@ -288,3 +288,19 @@ def test_quarantine_can_be_traced(spark, tmp_path, config):
     run_batch(store, odd, config, "b1", T1)
     got = {(r.source_kind, r.endpoint, r.endpoint_ord, r.reason, r.raw) for r in store.read("quarantine").filter("reason = 'unparseable_body'").collect()}
     assert got == {("wwr", "https://x/wwr", 3, "unparseable_body", "garbage"), ("lever", "https://x/lever", 0, "unparseable_body", '[{"text": ')}
+
+
+def test_known_listings_are_neither_scored_nor_moved(spark):
+    """Few first sightings are brought to the wide rows before these are scored; many meet
+    them in a shuffle. Both give the same rows."""
+    rows = [listing(f"t{i % 7}", url=f"u{i % 7}", description="juce", pos=i) for i in range(40)]
+    stored = with_key(listing_frame(spark, listing("t0", url="u0"))).select("job_key")
+    config = RunConfig(lexicon_frame(spark, {"juce": 6}), roster_frame(spark, []), [])
+    few = new_listings(listing_frame(spark, *rows), stored, config)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("juce") < plan.index("LeftSemi")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(polling, "BROADCAST_MAX_KEY_BYTES", 0)
+        many = new_listings(listing_frame(spark, *rows), stored, config)
+    result = lambda df: sorted((r.title, r.src_pos, r.score) for r in df.collect())
+    assert result(few) == result(many) == [(f"t{i}", i, 6) for i in range(1, 7)]
