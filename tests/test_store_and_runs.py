@@ -304,3 +304,26 @@ def test_known_listings_are_neither_scored_nor_moved(spark):
         many = new_listings(listing_frame(spark, *rows), stored, config)
     result = lambda df: sorted((r.title, r.src_pos, r.score) for r in df.collect())
     assert result(few) == result(many) == [(f"t{i}", i, 6) for i in range(1, 7)]
+
+
+def test_the_outbox_sorts_rows_and_not_their_bodies(spark, tmp_path):
+    """Bodies are made above the sort, in tasks of a bounded number of alerts."""
+    store = ListingStore(spark, str(tmp_path / "store"))
+    items = [{"text": f"t{i}", "hostedUrl": f"u{i}", "descriptionPlain": "juce " + "x" * 400} for i in range(40)]
+    config = RunConfig(lexicon_frame(spark, {"juce": 6}), roster_frame(spark, [("Acme", "lever", "acme")]), [])
+    plans, replace = [], store.replace
+
+    def kept(table, part, rows):
+        if table == "outbox":
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return replace(table, part, rows)
+
+    store.replace = kept
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(polling, "OUTBOX_ROWS", 3, raising=False)
+        run_batch(store, payload_frame(spark, payload("lever", items, "acme")), config, "b1")
+    assert plans[0].index("embeds") < plans[0].index("Sort [seq") and "RepartitionByExpression [job_key" in plans[0]
+    rows = store.read("outbox").orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(1, 41)) and len({r.job_id for r in rows}) == 40
+    shown = [json.loads(r.payload)["embeds"][0]["fields"][5]["value"] for r in rows]
+    assert {(len(s), s[-1]) for s in shown} == {(301, "…")}
