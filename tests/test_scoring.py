@@ -247,3 +247,19 @@ def test_a_shuffled_lexicon_moves_no_text_to_find_candidates(spark):
         plan = score_listings(df, lexicon)._jdf.queryExecution().executedPlan().toString()
     assert len(moved) == 1 and "Aggregate" not in moved[0] and "Exchange" not in moved[0]
     assert "ShuffledHashJoin [_key" in plan and "SortMergeJoin [_key" not in plan
+
+
+def test_texts_are_split_once(spark):
+    """No filter below the explode makes and splits every text a second time."""
+    rows = listing_frame(spark, listing("of the day", description="", company=None, url="1"), listing("", company="", url="2"), listing(".a-", url="3"))
+    texts = rows.select("url", scoring.search_text("title", "description", "company").alias("text"))
+    long = Lexicon.of(lexicon_frame(spark, {"of the": 7, "a": 2, "day": 1}), scan_max=0)
+    one_word = Lexicon.of(lexicon_frame(spark, {"a": 2, "day": 1}), scan_max=0)
+    assert long.sizes == (1, 2) and one_word.sizes == (1,)
+    for found in (scoring._met(texts, "url", long), scoring._met(texts, "url", one_word), scoring._held(texts, "url", long)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1, plan
+    want = {"1": (8, ["of the", "day"]), "2": (0, []), "3": (2, ["a"])}
+    weights = {"of the": 7, "a": 2, "day": 1}
+    for form in ("scan", "join", "shuffled"):
+        assert scores(score_listings(rows, forms(lexicon_frame(spark, weights))[form])) == want
