@@ -83,6 +83,27 @@ def test_an_epoch_that_runs_again_replaces_its_scores(spark, tmp_path):
     assert sorted(store.read("scored").collect()) == before and len(before) == 2
 
 
+def test_a_long_lexicon_parses_an_epoch_once(spark, tmp_path, monkeypatch):
+    """Listings that are read twice are written, numbered, and removed after the epoch."""
+    from postsieve.streaming import ingest
+
+    store, landing = ListingStore(spark, str(tmp_path / "store")), str(tmp_path / "landing")
+    write_landing(board(spark, "A", "A", "B"), landing)
+    write_landing(board(spark, "A"), landing)
+    plans, score = [], ingest.score_listings
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return score(df, *args, **kwargs)
+
+    monkeypatch.setattr(ingest, "score_listings", seen)
+    long = RunConfig(lexicon_frame(spark, {"juce": 6, **{f"zq{i} engineer": 1 for i in range(64)}}), roster_frame(spark, [("Acme", "lever", "acme")]), [])
+    score_epochs(read_landing(spark, landing, max_files=1), store, long, "scores", f"{store.root}/progress").awaitTermination()
+    assert len(plans) == 2 and not any("from_json" in p or "Generate" in p for p in plans)
+    assert sorted((r.title, r.score) for r in store.read("scored").collect()) == [("A", 6), ("A", 6), ("A", 6), ("B", 6)]
+    assert not list((tmp_path / "store" / "listings").iterdir())
+
+
 def test_live_polling_sends_each_listing_once(spark, tmp_path):
     """Several epochs, a restart and packing in between; deliveries go with the epoch."""
     store, landing = ListingStore(spark, str(tmp_path / "store")), str(tmp_path / "landing")
