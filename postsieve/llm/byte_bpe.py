@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from postsieve.llm.common import pieces
+from postsieve.llm.common import lean, pieces
 
 # Byte b is written as the letter with code point 0x100 + b (letters, none special).
 FIRST_LETTER = 0x100
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000  # in two generations, about 180 bytes each
 BATCH_CHARS = 2_000_000
 
 
@@ -72,13 +72,14 @@ class Codec:
     def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
         whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.model.encode(letters(raw))
-        return np.array(ids, dtype="<u4").tobytes()
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        return np.array(self.model.encode(letters(raw)), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
+        if len(known) > CACHE_ENTRIES // 2:
+            known.age()
         return b"".join([known[piece] for piece in self.pattern.findall(text)])
 
     def decode(self, packed: bytes) -> bytes:
@@ -87,16 +88,24 @@ class Codec:
 
 
 class _Known(dict):
-    """Packed ids by pre-token, filled on demand."""
+    """Packed ids by pre-token, filled on demand. What a generation has not asked for again is
+    forgotten with the next, so frequent pre-tokens stay though few are kept."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self[piece] = self.codec.encode_piece(piece)
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self.codec.encode_piece(piece)
+        self[piece] = packed
         return packed
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 @lru_cache(maxsize=2)
 def _codec(blob: bytes, pattern: str) -> Codec:
@@ -142,7 +151,7 @@ def encode_texts(docs: DataFrame, blob: bytes, pattern: str, text_col: str = "te
                 old = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*old.columns, *new], names=[*names, *added])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.llm.common import byte_pieces, components, cut, mix
+from postsieve.llm.common import byte_pieces, components, cut, lean, mix
 from postsieve.llm.words import GRAM_STEP, SPACED, grams, split_words
 from postsieve.operators.skew import look_up
 
@@ -259,7 +259,7 @@ def search_long_lists(members: DataFrame, percent: int) -> DataFrame:
         if key is not None:
             yield from finish()
 
-    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(run, "a long, b long")
+    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(lean(run), "a long, b long")
 
 
 RECORDS = "doc_id long, n_shingles long, digest binary, head array<long>"
@@ -284,7 +284,7 @@ def record_rows(docs: DataFrame, shared: Broadcast, k: int, percent: int) -> Dat
                     names=["doc_id", "n_shingles", "digest", "head"],
                 )
 
-    return docs.mapInArrow(run, RECORDS)
+    return docs.mapInArrow(lean(run), RECORDS)
 
 
 def long_lists(docs: DataFrame, k: int, percent: int, long_list: int = LONG_LIST, local: int = LOCAL_LIST) -> Order:
@@ -314,7 +314,7 @@ def long_lists(docs: DataFrame, k: int, percent: int, long_list: int = LONG_LIST
         often = counts >= local
         return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = cut(counts.filter(F.col("n") >= long_list))
     while counts.filter(F.col("n") >= long_list).count() > HEAVY_BYTES // 16:
         long_list *= 2
@@ -340,7 +340,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, repeated:
                 sets = shingle_sets(some, k)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    sets = texts.mapInArrow(sets_of, "id long, shingles binary")
+    sets = texts.mapInArrow(lean(sets_of), "id long, shingles binary")
     sets = cut(sets.distinct() if repeated else sets)
     per = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = pairs.join(per, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
@@ -371,7 +371,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, repeated:
         if asked:
             yield finish()
 
-    return blocks.mapInPandas(run, "a long, b long")
+    return blocks.mapInPandas(lean(run), "a long, b long")
 
 
 def join_documents(

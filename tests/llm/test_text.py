@@ -297,3 +297,22 @@ def test_mix_query(spark):
     for r in out.itertuples():
         assert slots[r.mix_slot % len(slots)][0] == r.source
     assert not out.duplicated(["mix_slot", "mix_place"]).any()
+
+
+def test_an_encoder_keeps_few_pieces_and_the_frequent_ones(monkeypatch):
+    """Two generations bound what is kept; what is asked for again is not encoded again."""
+    import public_tokenizers
+
+    from postsieve.llm import byte_bpe
+
+    blob = byte_bpe.rank_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain, small = (byte_bpe.Codec(blob, public_tokenizers.PATTERN) for _ in range(2))
+    texts = [f" often zq{i}xw{i * 7919} often" for i in range(300)]
+    want = [plain.encode(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 40)
+    made, encode = [], small.encode_piece
+    monkeypatch.setattr(small, "encode_piece", lambda piece: made.append(piece) or encode(piece))
+    for text, ids in zip(texts, want, strict=True):
+        assert small.encode(text) == ids and small.decode(ids).decode() == text
+        assert len(small.known) + len(small.known.older) < 80
+    assert made.count(" often") == 1
