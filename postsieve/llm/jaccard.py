@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postsieve.llm.common import byte_pieces, components, cut, lean, mix
@@ -40,6 +41,7 @@ HEAVY_BYTES = 64 << 20
 BROADCAST_IDS = 1_000_000
 PAIRED_LIST = 32  # records of a list that meet in a join; longer lists are searched in blocks
 LIST_RECORDS, LIST_SHINGLES = 1024, 1 << 18  # of a block, about
+PIVOTS = 32  # of a group of near copies of one size, about
 SIZE_STEP = math.log(1.04)
 
 
@@ -262,6 +264,47 @@ def search_long_lists(members: DataFrame, percent: int) -> DataFrame:
     return cells.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(lean(run), "a long, b long")
 
 
+def mixed_lists(lists: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, rep, n, at, part, held, blocks) of those ``lists`` (token, rep, n, at) that
+    still hold several components; ``blocks`` is 0 where the records of a list meet in a join."""
+    known = lists.select("token", "rep", "n", "at").join(stars.withColumnsRenamed({"child": "rep"}), "rep", "left")
+    known = cut(known.select("token", "rep", "n", "at", F.coalesce("parent", "rep").alias("part")))
+    heads = F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    blocks = F.greatest(F.ceil(F.col("held") / LIST_RECORDS), F.ceil(F.col("heads") / LIST_SHINGLES)).cast("int")
+    mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("held"), heads.alias("heads"))
+    mixed = mixed.filter("low < high").select("token", "held", F.when(F.col("held") > PAIRED_LIST, blocks).otherwise(0).alias("blocks"))
+    return cut(look_up(known, cut(mixed), ["token"], "held"))
+
+
+def with_pivots(many: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a record of the lists ``many`` (token, rep, n, at, part) and a
+    pivot of its list in another component, which their heads allow to link.
+
+    Each list has a pivot for every class of sizes that lie close together: a record of which
+    the least part of the head lies outside these lists, so that has the least of its own and
+    links with the most; among equals the least by a hash, which lists of the same PIVOTS
+    share. Records meet the pivot of their class, and pivots that of the class below. So a
+    list sends no more pairs than it has records and classes.
+    """
+    rows = many.select("token", F.floor(F.log("n") / SIZE_STEP).alias("class"), "rep", "part")
+    heads = first.select("rep", F.size("head").alias("size"))
+    own = many.groupBy("rep").agg(F.count("*").alias("shared")).join(heads, "rep").select("rep", (F.col("size") - F.col("shared")).alias("own"))
+    hashed = F.xxhash64(F.pmod("token", F.lit(PIVOTS)), "rep")
+    least = F.min(F.struct("own", hashed.alias("hash"), "rep", "part")).alias("pivot")
+    ends = rows.join(own, "rep").groupBy("token", "class").agg(F.count("*").alias("held"), least)
+    ends = cut(ends.select("token", "class", "held", F.col("pivot.rep").alias("r"), F.col("pivot.part").alias("p")))
+    below = F.lag("class").over(W.partitionBy("token").orderBy("class")).alias("class")
+    rows = rows.union(ends.select("token", below, "r", "p"))
+    pairs = look_up(rows, ends, ["token", "class"], "held").filter("part <> p")
+    pairs = cut(pairs.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct())
+    one, other = (first.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("head").alias(f"head_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("head_a", "head_b"))
+    # what lies behind both heads adds at most the longer rest
+    rest = F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1
+    enough = common + rest >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    return pairs.join(one, "a").join(other, "b").filter(enough).select("a", "b").distinct()
+
+
 RECORDS = "doc_id long, n_shingles long, digest binary, head array<long>"
 
 
@@ -386,11 +429,12 @@ def join_documents(
 
     Documents link when 100 * intersection >= percent * union of their sets; component_id
     is the smallest id reachable by links, the own id included. Links whose ends are
-    connected already by others need no test, so two rounds suffice: the promising ones of
-    every list are first compared with its smallest and its largest id, then the lists
-    that still hold several components give all pairs of different components. A group
-    of near copies is one component after the first round and sends no pairs in the
-    second. Lists of more than PAIRED_LIST records form no pairs but are searched, block by
+    connected already by others need no test, so three rounds suffice: the promising ones of
+    every list are first compared with its smallest and its largest id, those of long lists
+    that still hold several components then with pivots, and lists that hold several even
+    then give all pairs of different components. A group of near copies is one component
+    after the second round, but for those that link with few, and sends no pairs in the
+    third. Lists of more than PAIRED_LIST records form no pairs but are searched, block by
     block, for those whose heads share enough. Pairs that share too few head shingles for
     their sizes are not compared.
 
@@ -436,13 +480,14 @@ def join_documents(
     links = cut(verified(tested, docs, k, percent, repeated))
     stars = components(links)
 
-    known = live.select("token", "rep", "n", "at").join(stars.withColumnsRenamed({"child": "rep"}), "rep", "left")
-    known = cut(known.select("token", "rep", "n", "at", F.coalesce("parent", "rep").alias("part")))
-    heads = F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
-    blocks = F.greatest(F.ceil(F.col("held") / LIST_RECORDS), F.ceil(F.col("heads") / LIST_SHINGLES)).cast("int")
-    mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("held"), heads.alias("heads"))
-    mixed = mixed.filter("low < high").select("token", "held", F.when(F.col("held") > PAIRED_LIST, blocks).otherwise(0).alias("blocks"))
-    left = cut(look_up(known, cut(mixed), ["token"], "held"))
+    left = mixed_lists(live, stars, percent)
+    many = left.filter("blocks > 0")
+    if not many.isEmpty():
+        tried = cut(with_pivots(many, first, percent).join(tested, ["a", "b"], "left_anti"))
+        links = cut(links.union(verified(tried, docs, k, percent, repeated)))
+        tested = cut(tested.union(tried))
+        stars = components(links)
+        left = mixed_lists(left, stars, percent)
     few = left.filter("blocks = 0")
     right = few.select(F.col("token").alias("t"), F.col("rep").alias("r"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("part").alias("p"))
     cross = (F.col("token") == F.col("t")) & (F.col("part") < F.col("p")) & (around >= need)

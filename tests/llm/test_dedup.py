@@ -234,6 +234,27 @@ def test_long_lists_are_searched_in_blocks(spark, monkeypatch, k, percent):
     assert 10 < len({part for _, _, part in want}) < 230
 
 
+def test_pairs_of_a_large_group_grow_with_its_records(spark, monkeypatch):
+    """Copies with one to three words of their own, of which few link with the group's ends."""
+    searched, tested = [], []
+    search, verified = jaccard.search_long_lists, jaccard.verified
+    monkeypatch.setattr(jaccard, "search_long_lists", lambda *a: searched.append(search(*a)) or searched[-1])
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: tested.append(pairs) or verified(pairs, *a))
+    rng = random.Random(7)
+    base = [[f"b{g}_{i}" for i in range(150)] for g in range(2)]
+    rows = []
+    for i in range(400):
+        text = base[i % 30 == 0].copy()
+        for _ in range(3 if i in (1, 399) else rng.choice([1, 2, 2, 3])):
+            text[rng.randrange(150)] = f"v{i}_{rng.randrange(99)}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = jaccard.join_documents(frame, k=5, percent=80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute_documents(rows, 5, 80)
+    counts = [pairs.distinct().count() for pairs in (*searched, *tested)]
+    assert max(counts) < 10 * len(rows), counts
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
 def test_across_finds_every_link(percent):
     rng = random.Random(percent)
