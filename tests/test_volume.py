@@ -70,3 +70,24 @@ def test_many_keys_are_not_sent_through_the_driver(spark):
         assert many.count() == few.count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+
+
+def test_digests_of_small_files_are_not_sent_through_the_driver(spark, tmp_path):
+    """By the size of its files a table of digests may be small, however many it holds."""
+    from postsieve.operators.dedup import new_only, without_packed
+    from postsieve.operators.queue import number_rows, pending
+
+    path = str(tmp_path / "keys")
+    spark.range(500).selectExpr("sha1(cast(id as string)) as job_key", "int(id % 9) as score", "timestamp_seconds(id % 2) as seen_at").write.parquet(path)
+    keys = spark.read.parquet(path)
+    wanted = keys.filter("score >= 3")
+    plans = [
+        plan_of(new_only(keys, wanted, 500_000)),
+        plan_of(without_packed(keys, [wanted.select("job_key")])),
+        plan_of(pending(keys, wanted)),
+    ]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    numbered = number_rows(wanted)
+    first = next(line for line in plan_of(numbered).splitlines() if "Join" in line)
+    assert "SortMergeJoin" in first
+    assert sorted(r.seq for r in numbered.collect()) == list(range(1, wanted.count() + 1))
