@@ -139,3 +139,15 @@ def test_a_compacted_landing_follows_its_size_and_not_its_tasks(spark, tmp_path)
     stored = [sorted(map(str, spark.read.parquet(str(f)).collect())) for f in (landing, plain)]
     assert stored[0] == stored[1] and len(stored[0]) == 256
     assert not list((tmp_path / "landing-scattered").iterdir())
+
+
+def test_an_epoch_is_dealt_by_endpoint_not_by_file(spark, tmp_path):
+    """All pages of a feed lie in one small file; the listings are not made by one task."""
+    store, landing = ListingStore(spark, str(tmp_path / "store")), str(tmp_path / "landing")
+    pages = [payload("remoteok", [{}, {"position": f"t{i}", "url": f"u{i}"}], endpoint_ord=i) for i in range(200)]
+    write_landing(payload_frame(spark, *pages), landing, compact=True)
+    assert len(list((tmp_path / "landing").rglob("*.parquet"))) == 1
+    start(spark, store, landing, mode="summary")
+    files = store.read("staged").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 200 and len(files) >= 8 and max(r["count"] for r in files) < 50
+    assert store.read("jobs").count() == 200
